@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.conversations import p3_found
+from corpusloom.llm.tokenize import p6_ids
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p6_ids": p6_ids}
 
 
 def llm_sql() -> dict[str, str]:
