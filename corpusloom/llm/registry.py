@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.conversations import p3_found
+from corpusloom.llm.leakage import p7_found
 from corpusloom.llm.neighbours import p1_found
 from corpusloom.llm.tokenize import p6_ids
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def llm_sql() -> dict[str, str]:
