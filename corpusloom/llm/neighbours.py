@@ -26,6 +26,8 @@ CELL, SAMPLE_PER_CELL, SAMPLE = 8192, 128, 400_000
 #: Trees of a cell's forest, vectors of a leaf, leaves a query takes, and further cells it visits at most.
 TREES, LEAF, POPS, VISITS = 4, 96, 10, 3
 KEPT_PER_LEAF, RERANKED = 8, 14
+#: Up to so many deliveries of one id are left for its cell to sort out; more are merged before anything is routed.
+FEW_TIMES = 16
 Tree = tuple[np.ndarray, np.ndarray]
 
 
@@ -182,11 +184,16 @@ def nearest_vectors(vectors: DataFrame, *, k: int = 5, dim: int = 64, cell: int
     """
     usable = vectors.where("id is not null").where(valid_vector(F.col("embedding"), dim)).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
     hashed = usable.select("id", F.xxhash64("embedding").alias("h"))
-    ids = materialise(hashed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("other")), "ids")
-    total = ids.count()
-    if not ids.where("h <> other").isEmpty():
-        usable = usable.groupBy("id").agg(F.min("embedding").alias("embedding"))
-    classes = usable.groupBy("embedding").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    ids = materialise(hashed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("other"), F.count("*").alias("times")), "ids")
+    total, times, conflicts, vectors_seen = ids.agg(F.count("*"), F.max("times"), F.bool_or(F.col("h") != F.col("other")), F.count_distinct("h")).first()
+    members = None
+    if total and (times > FEW_TIMES or conflicts or vectors_seen < total):
+        if conflicts:
+            usable = usable.groupBy("id").agg(F.min("embedding").alias("embedding"))
+        classes = materialise(usable.groupBy("embedding").agg(F.min("id").alias("id"), F.max("id").alias("last")), "classes")
+        copies = classes.where("id <> last").select(F.col("id").alias("representative"), "embedding")
+        members = usable.join(copies, "embedding").where("id <> representative").select("representative", "id").distinct()
+        usable = classes.select("id", "embedding")
     cells = max(1, total // cell)
     depth = int(np.ceil(np.log2(cells)))
     wanted = min(SAMPLE, max(4 * cell, SAMPLE_PER_CELL * 2**depth))
@@ -218,6 +225,8 @@ def nearest_vectors(vectors: DataFrame, *, k: int = 5, dim: int = 64, cell: int
                 )
 
     def search(key, table):
+        _, first = np.unique(table["id"].to_numpy(), return_index=True)  # rows delivered twice count once
+        table = table.take(pa.array(np.sort(first)))
         home = table["home"].to_numpy()
         x, names = matrix(table["embedding"], dim), table["id"].combine_chunks()
         at = np.flatnonzero(home)
@@ -230,15 +239,13 @@ def nearest_vectors(vectors: DataFrame, *, k: int = 5, dim: int = 64, cell: int
         near = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(distance), names.take(pa.array(at[member]))], ["distance", "id"]))
         return pa.table({"id": names, "near": near})
 
-    routed = classes.select("id", "embedding").mapInArrow(route, "cell int, home boolean, id string, embedding array<float>")
+    routed = usable.mapInArrow(route, "cell int, home boolean, id string, embedding array<float>")
     tasks = max(spark.sparkContext.defaultParallelism, 2**depth)
     found = routed.repartition(tasks, "cell").groupBy("cell").applyInArrow(search, "id string, near array<struct<distance:double,id:string>>")
     merged = found.where(F.size("near") > 0).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     within = F.filter("near", lambda x: x["distance"] <= F.get("near", F.least(F.size("near"), F.lit(k)) - 1)["distance"])
     pairs = merged.select("id", F.explode(within).alias("near")).select("id", F.col("near.id").alias("neighbour"), "near.distance")
-    copies = classes.where("id <> last").select(F.col("id").alias("representative"), "embedding")
-    members = usable.join(copies, "embedding").where("id <> representative").select("representative", "id").distinct()
-    return pairs, members
+    return pairs, members if members is not None else spark.createDataFrame([], "representative string, id string")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
