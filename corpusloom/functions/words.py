@@ -17,7 +17,8 @@ JOINED = re.compile(r"['’‘`´*_~‐‑­]|-(?:\s*\n\s*)?")
 WORD = re.compile(r"[^\W_]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i"}
-SPECIAL_TABLE = str.maketrans(SPECIAL)
+DROPPED = {c: None for c in range(0x300, 0x110000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cf"} | {0xAD: None}
+FOLDED = str.maketrans(SPECIAL) | DROPPED
 
 
 def _percent(m: re.Match) -> str:
@@ -47,9 +48,7 @@ def fold(text: str) -> str:
     """Lower case without accents and invisible characters, compatibility forms unified."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.casefold())
-    text = "".join([c for c in text if c < "̀" or not (unicodedata.combining(c) or unicodedata.category(c) == "Cf")])
-    return text.translate(SPECIAL_TABLE)
+    return unicodedata.normalize("NFKD", text.casefold()).translate(FOLDED)
 
 
 def words(text: str | None) -> list[str]:
