@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.workspace import materialise
@@ -18,6 +21,8 @@ STOPWORDS = (
     "November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday"
 ).split()
 CAPITALISED = r"\b[A-Z][a-zA-Z]{3,}(?:\s+[A-Z][a-zA-Z]+){0,2}\b"
+#: Parts of a unit of weight that modularity reckons in.
+UNIT = 1_000_000
 
 
 def entity_id(name: Column, kind: Column) -> Column:
@@ -106,7 +111,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def greedy_modularity(edges: list[tuple[str, str, float]], total: float) -> list[list[str]]:
-    """Communities of one component by greedy merging (Clauset, Newman and Moore 2004); ``total`` is the weight of the whole graph.
+    """Communities of one component by greedy merging (Clauset, Newman and Moore 2004), one merger after the other: what
+    tests hold ``membership`` against. ``total`` is the weight of the whole graph.
 
     Ties go to the least pair of names.
     """
@@ -137,34 +143,110 @@ def greedy_modularity(edges: list[tuple[str, str, float]], total: float) -> list
     return sorted(members.values(), key=lambda m: (-len(m), m))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, *, least: int = 2, most: int | None = 20, gather: int = 200_000) -> DataFrame:
-    """(community_id, members, size) by greedy modularity within each connected component.
+def _picks(pairs: DataFrame, shares: DataFrame, twice: float) -> DataFrame:
+    """(id, other, loss, w, k, other_k): the partner whose merger with each node gains most, where any gains."""
+    gain = F.lit(twice) * F.col("w") - F.col("ka").cast("double") * F.col("kb")
+    met = pairs.join(shares.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(shares.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b").withColumn("loss", -gain).where("loss < 0")
+    def side(own: str, other: str) -> Column:
+        pick = F.struct("loss", "a", "b", "w", F.col(f"k{own}").alias("k"), F.col(other).alias("other"), F.col(f"k{other}").alias("other_k"))
+        return F.struct(F.col(own).alias("id"), pick.alias("p"))
+
+    sides = F.array(side("a", "b"), side("b", "a"))
+    best = met.select(F.explode(sides).alias("side")).groupBy("side.id").agg(F.min("side.p").alias("p"))
+    return best.select("id", "p.other", "p.loss", "p.w", "p.k", "p.other_k")
 
-    Components of more than ``gather`` edges are not gathered: they come out whole, as one community each.
-    """
-    weights = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.01)).alias("w")).where("a <> b")
-    weights = materialise(weights.groupBy("a", "b").agg(F.max("w").alias("w")), "weights")
-    total = float(weights.agg(F.sum("w")).first()[0] or 1.0)
-    named = components(nodes, weights.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = weights.join(named.withColumnRenamed("id", "a"), "a")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-    small = placed.join(sizes.where(F.col("n") <= gather).select("component"), "component")
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_modularity(list(zip(pdf["a"], pdf["b"], pdf["w"])), total)
-        return pd.DataFrame({"members": found})
+def _moves(picks: DataFrame, twice: float, turn: int) -> DataFrame:
+    """(id, head): mergers that together raise modularity, among them the one that gains most.
 
-    found = small.groupBy("component").applyInPandas(cut, "members array<string>")
-    large = named.join(sizes.where(F.col("n") > gather).select("component"), "component").groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members")).select("members")
-    every = found.unionByName(large).where(F.size("members") >= least)
-    out = every.select(F.concat(F.lit("community_"), F.substring(F.sha1(F.array_join("members", "|")), 1, 16)).alias("community_id"), "members", F.size("members").cast("long").alias("size"))
-    return out if most is None else out.orderBy(F.desc("size"), "community_id").limit(most)
+    Of two nodes that pick each other the heavier is a head and the other moves; else a coin decides. A node moves if its
+    pick is a head. Moves to one head are taken in order of gain, each counted as if all before it had been made.
+    """
+    heavier = (F.col("k") > F.col("other_k")) | ((F.col("k") == F.col("other_k")) & (F.col("id") < F.col("other")))
+    coin = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+    after = picks.select(F.col("id").alias("other"), F.col("other").alias("next"))
+    roles = picks.join(after, "other").withColumn("head", F.when(F.col("next") == F.col("id"), heavier).otherwise(coin))
+    asking = roles.where("not head").join(roles.where("head").select(F.col("id").alias("other")), "other")
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("other").orderBy("loss", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gain = F.lit(twice) * F.col("w") - F.col("k").cast("double") * (F.col("other_k") + before)
+    return asking.withColumn("gain", gain).where("gain > 0").select("id", F.col("other").alias("head"))
+
+
+def membership(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community) by greedy modularity over the whole graph, a community being named by one of its nodes.
+
+    As in Clauset, Newman and Moore (2004) neighbouring communities merge as long as that raises modularity; here many
+    mergers are made in one round, chosen so that their gains add up. Each round is written out. Ties go to the least pair
+    of names; weights are whole multiples of 1 / ``UNIT``, so that sums are exact in any order.
+    """
+    weights = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.01)).alias("w")).where("a <> b")
+    pairs = materialise(weights.groupBy("a", "b").agg(F.round(F.max("w") * UNIT).cast("long").alias("w")), "pairs")
+    twice = 2.0 * (pairs.agg(F.sum("w")).first()[0] or 0)
+    ends = pairs.select(F.col("a").alias("id"), "w").unionByName(pairs.select(F.col("b").alias("id"), "w"))
+    shares = materialise(ends.groupBy("id").agg(F.sum("w").alias("k")), "shares")
+    labels = nodes.select("id").unionByName(shares.select("id")).distinct().withColumn("community", F.col("id"))
+    for turn in count():
+        picks = materialise(_picks(pairs, shares, twice), "picks")
+        if picks.isEmpty():
+            return labels
+        moves = materialise(_moves(picks, twice, turn), "moves")
+        at = lambda name: moves.select(F.col("id").alias(name), F.col("head").alias(f"{name}_head"))
+        now = lambda name: F.coalesce(f"{name}_head", name)
+        moved = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.least(now("a"), now("b")).alias("a"), F.greatest(now("a"), now("b")).alias("b"), "w")
+        pairs = materialise(moved.where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")), "pairs")
+        shares = materialise(shares.join(at("id"), "id", "left").groupBy(now("id").alias("id")).agg(F.sum("k").alias("k")), "shares")
+        labels = materialise(labels.join(at("community"), "community", "left").select("id", now("community").alias("community")), "labels")
+
+
+def community_rows(nodes: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
+    """(community_id, id, size): the members of the communities of at least so many. The name is a hash over the sorted
+    members, which are streamed, so that a community of any size fits."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, size = None, None, 0
+        for batch in batches:
+            done = []
+            for community, member in zip(batch["community"].to_pylist(), batch["id"].to_pylist()):
+                if community != at:
+                    if at is not None:
+                        done.append((at, f"community_{digest.hexdigest()[:16]}", size))
+                    at, digest, size = community, hashlib.sha1(member.encode()), 1
+                else:
+                    digest.update(f"|{member}".encode())
+                    size += 1
+            yield _named(done)
+        if at is not None:
+            yield _named([(at, f"community_{digest.hexdigest()[:16]}", size)])
+
+    members = materialise(membership(nodes, edges), "members")
+    names = members.repartition("community").sortWithinPartitions("community", "id").mapInArrow(name, "community string, community_id string, size long")
+    return members.join(names.where(F.col("size") >= least), "community").select("community_id", "id", "size")
+
+
+def _named(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    kinds = {"community": pa.string(), "community_id": pa.string(), "size": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+
+def largest(rows: DataFrame, most: int | None = 20) -> DataFrame:
+    """The rows of the ``most`` largest communities."""
+    if most is None:
+        return rows
+    top = rows.select("community_id", "size").distinct().orderBy(F.desc("size"), "community_id").limit(most)
+    return rows.join(F.broadcast(top.select("community_id")), "community_id", "left_semi")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, *, least: int = 2, most: int | None = 20) -> DataFrame:
+    """(community_id, members, size), largest first, for communities that fit a row; else see ``community_rows``."""
+    rows = largest(materialise(community_rows(nodes, edges, least=least), "communities"), most)
+    return rows.groupBy("community_id", "size").agg(F.sort_array(F.collect_list("id")).alias("members")).select("community_id", "members", "size").orderBy(F.desc("size"), "community_id")
 
 
 def summaries(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """(community_id, summary) by a fixed sentence with the first eight names."""
-    named = found.select("community_id", "size", F.posexplode("members").alias("pos", "id")).join(entities.select("id", "name"), "id")
-    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), 1, 8)
+    """(community_id, summary) of communities (community_id, id, size) by a fixed sentence with the first eight names."""
+    pos = F.row_number().over(Window.partitionBy("community_id").orderBy("id"))
+    named = found.join(entities.select("id", "name"), "id").withColumn("pos", pos).where("pos <= 8")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])
     return named.groupBy("community_id", "size").agg(names.alias("names")).select(
         "community_id", F.format_string("[auto-generated template] Community of %d entities including %s.", "size", F.array_join("names", ", ")).alias("summary")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.workspace import materialise
 from corpusloom.operators import graph as O
 from corpusloom.sources.tables import table
 
@@ -64,13 +65,12 @@ def graph_components(spark, d):
 
 def graph_communities(spark, d):
     edges, nodes = parts(spark, d)
-    found = O.communities(nodes.select("id"), edges, most=None)
-    return found.select("community_id", F.array_join("members", ",").alias("members"), "size")
+    return O.community_rows(nodes.select("id"), edges)
 
 
 def community_summaries(spark, d):
     edges, nodes = parts(spark, d)
-    return O.summaries(O.communities(nodes.select("id"), edges), nodes)
+    return O.summaries(O.largest(materialise(O.community_rows(nodes.select("id"), edges), "communities")), nodes)
 
 
 _ENT = """raw AS (SELECT extracted_at, chunk_id, e, pos FROM (SELECT extracted_at, chunk_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS pos FROM extractions)),
