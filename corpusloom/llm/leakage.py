@@ -6,9 +6,10 @@ random bit of that word says whether the pointer moves on. Sampled positions of
 independent walks and samples per window size are the repetitions that bring recall to its target. Windows that meet
 an item's window in a bucket point to the item, and an exact alignment of its words with the document's decides.
 
-Two window sizes cover items of all lengths: a stretch in which at most one word in ten is altered always holds five
-unaltered words in a row, for which identical windows collide with certainty, and the larger windows carry over
-altered words. Items are taken in blocks of bounded size, each broadcast and held against all documents; the corpus
+Buckets alone don't give every pair, so runs of unaltered words do: if a document holds h words of an item in two
+stretches, with a altered, then h / (a + 2) of them at least follow each other unaltered in both. The least such run that
+an item's length allows is its seed length, and an item any of whose seeds a document holds is aligned with the whole
+document, unless too few of its words occur there at all. Items are taken in blocks of bounded size, each broadcast and held against all documents; the corpus
 is never shuffled.
 
 Null, empty and blank texts hold nothing. An item of fewer than five words is compared by its whole length. Rows that
@@ -35,11 +36,24 @@ STRANGERS = {5: 0, 10: 2}
 BLOCK = 4000
 #: Share of an item's words that must be held, share of a stretch's words that may be altered.
 HELD, ALTERED = 0.5, 0.1
-#: Share of an item's words that colliding windows must cover before it is aligned.
-COVERED = 0.25
 MISMATCH = 2
 
 
+def needed(n: int) -> tuple[int, int]:
+    """Words of an item of ``n`` that a document holds at least where it leaks it, and how many of them in a row."""
+    ways = [(t - int(ALTERED * t + 0.5), int(ALTERED * t + 0.5)) for t in range(-int(-HELD * n // 1), n + 1)]
+    return min(held for held, _ in ways), min(-(-held // (altered + 2)) for held, altered in ways)
+
+
+def run_keys(text: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, a key of every run of so many words) for each length up to ``longest``."""
+    key = np.zeros(len(text) + 1, np.uint64)
+    for length in range(1, min(longest, len(text)) + 1):
+        key = (key[:-1] ^ (text[length - 1 :].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        yield length, key
+
+
 class Walks:
     """Random bits and sampled positions of all repetitions over a vocabulary of numbered words (0: unknown)."""
 
@@ -93,6 +107,17 @@ class Items:
             for key in self.walks.keys(size, windows):
                 order = np.argsort(key, kind="stable")
                 self.buckets.append((size, key[order], item[order], at[order]))
+        self.held = [needed(len(t))[0] for t in self.words]
+        runs: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, t in enumerate(self.words):
+            if len(t) >= SCHEMES[0][0]:
+                length = needed(len(t))[1]
+                runs.setdefault(length, []).extend((key, k) for at, key in run_keys(t, length) if at == length)
+        self.runs = {}
+        for length, found in runs.items():
+            keys, item = np.concatenate([x for x, _ in found]), np.concatenate([np.full(len(x), k, np.int32) for x, k in found])
+            order = np.argsort(keys, kind="stable")
+            self.runs[length] = keys[order], item[order]
         self.short = [k for k, t in enumerate(self.words) if 0 < len(t) < SCHEMES[0][0]]
 
     def hits(self, text: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -116,6 +141,19 @@ class Items:
                     out.append((at[which], item[entry], place[entry], np.full(len(which), size)))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else ()
 
+    def seeded(self, text: np.ndarray) -> np.ndarray:
+        """The items of which the text holds a seed."""
+        known = np.concatenate([[0], np.cumsum(text > 0)])
+        out = [np.zeros(0, np.int32)]
+        for length, key in run_keys(text, max(self.runs, default=0)):
+            if length in self.runs:
+                keys, item = self.runs[length]
+                key = np.unique(key[known[length:] - known[:-length] == length])
+                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                n = hi - lo
+                out.append(item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+        return np.concatenate(out)
+
 
 def aligned(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
     """The word pairs (item position, text position) of the best local alignment, in order."""
@@ -170,20 +208,20 @@ def leaks(items: Items, text: np.ndarray) -> list[int]:
     """Ids of the items that a document of numbered words holds."""
     found = [items.ids[k] for k in items.short if len(text) >= len(items.words[k]) and (np.lib.stride_tricks.sliding_window_view(text, len(items.words[k])) == items.words[k]).all(1).any()]
     hits = items.hits(text)
-    if not hits:
-        return found
-    place, item, at, size = hits
-    order = np.argsort(item, kind="stable")
-    bounds = np.flatnonzero(np.diff(item[order])) + 1
-    for group in np.split(order, bounds):
-        k = int(item[group[0]])
-        n = len(items.words[k])
-        cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, at[group], 1), np.add.at(cover, at[group] + size[group], -1)
-        if (np.cumsum(cover)[:n] > 0).sum() < COVERED * n:
-            continue
-        lo, hi = max(0, int((place[group] - at[group]).min()) - n // 4), int((place[group] + n - at[group]).max()) + n // 4
-        if holds(items.words[k], text[lo:hi]):
+    present = np.zeros(len(items.number) + 1, bool)
+    present[text] = True
+    present[0] = False
+    near: dict[int, tuple[int, int]] = {}  # what lies around the windows that meet, where stray words mislead an alignment less
+    if hits:
+        place, item, at, _ = hits
+        order = np.argsort(item, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            k = int(item[group[0]])
+            n, start = len(items.words[k]), place[group] - at[group]
+            near[k] = max(0, int(start.min()) - n // 4), int(start.max()) + n + n // 4
+    for k in np.unique(np.concatenate([items.seeded(text), *hits[1:2]])).tolist():
+        own = items.words[k]
+        if present[own].sum() >= items.held[k] and (k in near and holds(own, text[slice(*near[k])]) or holds(own, text)):
             found.append(items.ids[k])
     return found
 
