@@ -3,22 +3,23 @@
 A text becomes the vector of its folded words' counts, written as coordinates (word, k) for the k-th time it occurs; then
 the L1 distance of two texts is |a| + |b| - 2 |a ∩ b|, and b repeats a if at least three quarters of the longer one's
 coordinates lie in the other. Centroids found by clustering don't work here: unrelated texts are almost equally far from
-each other, so no distance bound would ever rule out a cell. Cells are regions of the coordinate space instead: a cell
-holds the vectors whose components along three given coordinates are all positive, and a vector lies in the cells of
-all triples of its ``LEADING`` rarest coordinates.
-
-A query probes the cells of its own triples. Bounds keep that short: by size (a vector shorter than three quarters of the
-other, or longer than four thirds, is too far away), by rank (cells list members in order of acceptance and only the
-earliest match is wanted, so a cell is left as soon as its next members are later than the best match so far), and by
-coverage: a vector in none of the probed cells shares at most two of the leading coordinates, so it could only be near if
-nearly all that a quarter of changed words may take away fell on exactly those. What a match repeats itself is looked at as well. Candidates are reranked exactly by
-their full vectors. Then the batch's vectors are appended to the cells; texts of the history are never read again.
-
-Large cells are opened block by block, each eight times the last, and only for queries that may still find an earlier
-match there, so a text with any number of near copies costs each of them a few comparisons.
-
-Texts with equal words form one class with one vector. Rows that come twice count once. Null, empty and wordless texts
-are neither stored nor found; case, accents, markup and invisible characters don't matter (see functions.words).
+each other, so no distance bound would ever rule out a cell. Cells are regions of the coordinate space instead: in each of
+``CELLS`` random views a vector lies in the cell named by the three of its coordinates that come first in the view's order,
+in which a coordinate comes early the more telling it is (consistent weighted sampling). How telling it is, is
+fitted once on the first corpus: neither in most texts nor in almost none.
+
+A batch reads the members of its own cells only, not the history. Cells list members in order of acceptance, and a query
+reads on in a cell until no nearer match is possible: by rank (only the earliest match is wanted, so it stops where
+members are later than the best match so far), by size (a vector shorter than three quarters of the other is too far
+away) and by distance (members carry a 128-bit sketch, the parity of their coordinates by bit; sketches never differ
+in more bits than the L1 distance). The first members that no bound rules out are reranked exactly by their full vectors,
+and what a match repeats itself is looked at as well. Then the batch's vectors are appended; stored texts are never read again.
+
+A cell is read in windows, so one of any size takes bounded memory, and a text with any number of near copies costs each
+of them a few comparisons. Texts with equal words form one class with one place in the cells. Rows that come twice count once.
+Null, empty and wordless texts are neither stored nor found; case, accents, markup and invisible characters don't matter
+(see functions.words). Coordinates are 32-bit hashes: two texts are taken for nearer than they are by one word in about
+one of a million pairs at the limit.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,36 +36,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.words import words
-from corpusloom.functions.workspace import materialise, path_exists, scratch_path, small_side
+from corpusloom.functions.workspace import materialise, path_exists, scratch_path
 
 #: Share of the longer text's words that the other must hold.
 SHARED = 0.75
-#: Rarest coordinates whose triples name a vector's cells.
-LEADING = 8
+#: Views, and coordinates that name a vector's cell in each.
+CELLS, NAMED_BY = 20, 3
 #: Counters of the table of rarities; it bounds what is broadcast.
 COUNTERS = 1 << 20
-#: Coordinates in fewer than this share of the vectors (typing errors, for the most part) don't lead.
-TOO_RARE = 2e-4
-#: Up to these sizes a vector also lies in the cells of pairs and of single coordinates.
-PAIRS_UP_TO, SINGLES_UP_TO = 22, 4
-#: Members of a cell that are looked at first.
-BLOCK = 16
-#: Up to so many row ids are broadcast to read only their vectors.
-FEW = 100_000
-VECTOR = "rowid long, bag binary, size int, coords array<long>"
+#: Share of the texts that the most telling coordinates are in; the weight of one falls off on both sides. Every other view takes the
+#: weights squared: the ones are selective, the others meet texts that have only common words in common.
+TELLING, LEAST_WEIGHT = 1e-3, 0.7
+#: Members of a cell that are held at a time, survivors of the bounds that a query takes from a cell at a time; both grow by rounds.
+WINDOW, TAKEN, LARGEST_WINDOW = 4096, 8, 1 << 20
+#: Up to so many cells or row ids of a batch are broadcast (8 bytes each) to restrict what is read; beyond, they are joined.
+FEW = 1_000_000
+#: Up to so many cells or rows of a batch are looked up by value, so that row groups and pages are skipped.
+VERY_FEW = 32
+#: Batches that are accepted together in p2_found.
+WAITING = 7
+VECTOR = "rowid long, bag binary, size int, coords array<int>"
+MEMBER = "cell long, rowid long, size int, low long, high long"
+NEVER = -(1 << 62)
+SHIFTED = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
 
 def coordinates(text: str | None) -> np.ndarray:
-    """Sorted 64-bit coordinates of a text's words, one for each occurrence."""
+    """Sorted 32-bit coordinates of a text's words, one for each occurrence."""
     out = []
     for word, times in Counter(words(text)).items():
         out += [_coordinate(word, k) for k in range(1, times + 1)]
-    return np.unique(np.array(out, np.uint64)).view(np.int64)
+    return np.unique(np.array(out, np.uint32))
 
 
 @lru_cache(1 << 19)
 def _coordinate(word: str, k: int) -> int:
-    return xxhash.xxh64_intdigest(f"{word} {k}")
+    return xxhash.xxh32_intdigest(f"{word} {k}")
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,33 +80,56 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text in zip(batch["rowid"].to_pylist(), batch["text"].to_pylist()):
             c = coordinates(text)
             if len(c):
-                rows.append(row), bags.append(xxhash.xxh3_128_digest(c.tobytes())), sizes.append(len(c)), flat.append(c)
+                rows.append(row), bags.append(xxhash.xxh3_128_digest(c.tobytes())), sizes.append(len(c)), flat.append(c.view(np.int32))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        coords = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
+        coords = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(bags, pa.binary()), pa.array(sizes, pa.int32()), coords], ["rowid", "bag", "size", "coords"])
 
 
 def vectorise(rows: DataFrame) -> DataFrame:
-    """(rowid, bag, size, coords) of a table (rowid, text), written once; rows delivered twice count once."""
+    """(rowid, bag, size, coords) of a table (rowid, text); rows delivered twice count once."""
     plain = rows.where("rowid is not null and text is not null").select(F.col("rowid").cast("long").alias("rowid"), "text")
-    return materialise(plain.mapInArrow(_vectors, VECTOR).dropDuplicates(["rowid", "bag"]), "vectors")
+    return plain.distinct().mapInArrow(_vectors, VECTOR)
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return values ^ (values >> np.uint64(29))
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
+
+
+def cells_of(flat: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The cells (rows by views) of vectors whose 32-bit coordinates lie one after the other in ``flat``."""
+    wide, inverses = flat.astype(np.uint64), [(1 / weights**p).astype(np.float32) for p in (1, 2)]
+    out = np.empty((len(starts), CELLS), np.uint64)
+    for view in range(CELLS):
+        shuffled = _mixed((wide + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((view + 1) * 0xA24BAED4963EE407 % 2**64))
+        cell = np.full(len(starts), view, np.uint64)
+        for k in range(NAMED_BY):  # positive floats sort like their bits: the least arrival, and with it the coordinate it belongs to
+            arrival = SHIFTED[shuffled >> np.uint64(16 * k) & np.uint64(0xFFFF)] * inverses[view % 2]
+            first = np.minimum.reduceat(arrival.view(np.uint32).astype(np.uint64) << np.uint64(32) | wide, starts)
+            cell = _mixed(cell * np.uint64(31) ^ (first & np.uint64(0xFFFFFFFF)))
+        out[:, view] = cell
+    return out
+
+
+def sketches(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words for each vector: the parity of its coordinates by 7 bits of a hash."""
+    bit = (flat * np.uint32(0x9E3779B1)) >> np.uint32(25)
+    one = np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64)
+    return tuple(np.bitwise_xor.reduceat(np.where((bit >> np.uint32(6)) == half, one, np.uint64(0)), starts) for half in (0, 1))
 
 
 class VectorCells:
-    """Persisted cells: ``vectors`` (one row per class of equal vectors), ``cells`` and the fitted ``rarity``, below ``path``."""
+    """Persisted ``vectors``, ``cells`` and ``links`` (a folder a batch) and the fitted ``rarity``, below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "cells")
+        self._weights = None
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if not path_exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
 
     @property
     def vectors(self) -> DataFrame:
@@ -108,167 +137,206 @@ class VectorCells:
 
     @property
     def cells(self) -> DataFrame:
-        return self._table("cells", "cell long, rowid long, size int, part string")
+        return self._table("cells", MEMBER)
+
+    @property
+    def links(self) -> DataFrame:
+        """(kept_rowid, new_rowid) of everything found so far."""
+        return self._table("links", "kept_rowid long, new_rowid long")
 
     def fit(self, vectors: DataFrame) -> "VectorCells":
-        """Count the coordinates of a first corpus into ``COUNTERS`` counters, which say from then on how rare one is."""
-        counters = vectors.select(F.explode("coords").alias("c")).groupBy(F.pmod("c", F.lit(COUNTERS)).alias("slot")).agg(F.count("*").alias("n"))
-        counters.union(vectors.select(F.lit(-1).cast("long"), F.count("*"))).write.mode("overwrite").parquet(f"{self.path}/rarity")
+        """Count the coordinates of a first corpus into ``COUNTERS`` counters, which say from then on how telling one is."""
+        slot = F.pmod(F.col("c").cast("long"), F.lit(COUNTERS)).cast("int").alias("slot")
+        counters = vectors.select(F.explode("coords").alias("c")).groupBy(slot).agg(F.count("*").alias("n"))
+        counters.union(vectors.select(F.lit(-1), F.count("*"))).write.mode("overwrite").parquet(f"{self.path}/rarity")
         return self
 
-    def _leading(self, vectors: DataFrame) -> DataFrame:
-        """(rowid, size, cell) of every cell that each vector lies in."""
-        table = self.spark.read.schema("slot long, n long").parquet(f"{self.path}/rarity").toArrow()
-        slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
-        counts = np.zeros(COUNTERS, np.int64)
-        counts[slot[slot >= 0]] = n[slot >= 0]
-        least = max(2, int(TOO_RARE * n[slot < 0].sum()))
-        shared = self.spark.sparkContext.broadcast((np.minimum(counts, 2**31 - 1).astype(np.int32), least))
-        groups = {m: {k: np.array(list(combinations(range(m), k))) for k in (1, 2, 3) if k <= m} for m in range(1, LEADING + 1)}
+    def _shared_weights(self):
+        if self._weights is None:
+            table = self.spark.read.schema("slot int, n long").parquet(f"{self.path}/rarity").toArrow()
+            slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
+            counts = np.full(COUNTERS, 0.5)
+            counts[slot[slot >= 0]] = n[slot >= 0]
+            rare, best = np.log(max(1, n[slot < 0].sum()) / counts), np.log(1 / TELLING)
+            weights = np.maximum(np.minimum(rare, 2 * best - rare), LEAST_WEIGHT).astype(np.float32)
+            self._weights = self.spark.sparkContext.broadcast(weights)
+        return self._weights
+
+    def _members(self, vectors: DataFrame) -> DataFrame:
+        """(cell, rowid, size, low, high) of every cell that each vector lies in, sorted by cell."""
+        shared = self._shared_weights()
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts, least = shared.value
+            weights = shared.value
             for batch in batches:
-                offsets = batch["coords"].offsets.to_numpy()
-                flat = batch["coords"].values.to_numpy()
-                rarity = counts[np.mod(flat, COUNTERS)]
-                sizes, rows = batch["size"].to_numpy(), batch["rowid"].to_numpy()
-                cells, of = [], []
-                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-                    mine, rare = flat[a:b], rarity[a:b]
-                    mine, rare = mine[rare >= least], rare[rare >= least]
-                    lead = mine[np.lexsort((mine, rare))[:LEADING]]
-                    lead = np.sort(lead).view(np.uint64)
-                    m = len(lead)
-                    if not m:
-                        continue
-                    ways = [3] if m >= 3 and sizes[i] > PAIRS_UP_TO else [k for k in (1, 2, 3) if k <= m and (k > 1 or sizes[i] <= SINGLES_UP_TO or m == 1)]
-                    for k in ways:
-                        key = np.full(len(groups[m][k]), k, np.uint64)
-                        for column in groups[m][k].T:
-                            key = _mixed(key ^ lead[column])
-                        cells.append(key), of.append(np.full(len(key), i))
-                at = np.concatenate(of) if of else np.zeros(0, np.int64)
-                cell = np.concatenate(cells).view(np.int64) if cells else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(rows[at], pa.int64()), pa.array(sizes[at], pa.int32())], ["cell", "rowid", "size"])
-
-        return vectors.mapInArrow(place, "cell long, rowid long, size int")
-
-    def _classes(self, vectors: DataFrame) -> DataFrame:
-        """(bag, first, last, stored) of the classes in a batch; ``first`` is the least row id, of the history too."""
-        own = vectors.groupBy("bag").agg(F.min("rowid").alias("own"), F.max("rowid").alias("last"))
-        known = self.vectors.select("bag", F.col("rowid").alias("known"))
-        joined = own.join(known, "bag", "left")
-        return materialise(joined.select("bag", "own", "last", F.least("own", "known").alias("first"), F.col("known").isNotNull().alias("stored")), "classes")
-
-    def _append(self, vectors: DataFrame, classes: DataFrame) -> str:
-        """Store the classes that are new; the name of the part of the cells they are in."""
-        part = uuid.uuid4().hex
-        fresh = classes.where("not stored").select("bag", F.col("own").alias("rowid"))
-        new = vectors.join(fresh, ["bag", "rowid"], "left_semi").select("rowid", "bag", "size", "coords")
-        new.write.mode("append").parquet(f"{self.path}/vectors")
-        self._leading(new).write.mode("append").parquet(f"{self.path}/cells/part={part}")
-        return part
-
-    def load(self, vectors: DataFrame) -> "VectorCells":
-        """Append an accepted history without looking for repeats in it."""
-        self._append(vectors, self._classes(vectors))
+                if not len(batch):
+                    continue
+                starts = batch["coords"].offsets.to_numpy()
+                flat = batch["coords"].values.to_numpy()[starts[0] : starts[-1]].view(np.uint32)
+                starts = starts[:-1] - starts[0]
+                cells = cells_of(flat, starts, weights[flat % np.uint32(COUNTERS)])
+                rest = [batch["rowid"].to_numpy(), batch["size"].to_numpy(), *(x.view(np.int64) for x in sketches(flat, starts))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells.view(np.int64).ravel(), *(np.repeat(c, CELLS) for c in rest))], ["cell", "rowid", "size", "low", "high"])
+
+        return vectors.select("rowid", "size", "coords").mapInArrow(place, MEMBER).sortWithinPartitions("cell", "rowid")
+
+    def _only(self, table: DataFrame, column: str, wanted: DataFrame, n: int) -> DataFrame:
+        """Rows of ``table`` whose ``column`` is among the ``n`` of ``wanted``: by value if they are very few, else by a join."""
+        if n <= VERY_FEW:
+            found = F.lit(False)
+            for (value,) in wanted.select(column).distinct().collect():
+                found = found | (F.col(column) == value)
+            return table.where(found)
+        return table.join(F.broadcast(wanted) if n <= FEW else wanted, column, "left_semi")
+
+    def load(self, rows: DataFrame) -> "VectorCells":
+        """Append an accepted history (rowid, text) without looking for repeats in it; fit the rarities on a first one."""
+        vectors, part = self._stored(rows)
+        first = vectors.groupBy("bag").agg(F.min("rowid").alias("rowid"))
+        self._members(vectors.join(first, ["bag", "rowid"], "left_semi")).write.parquet(f"{self.path}/cells/{part}")
         return self
 
-    def accept(self, vectors: DataFrame) -> DataFrame:
-        """(kept_rowid, new_rowid): each row of the batch that repeats an earlier one, of the history or the batch, with the
-        earliest it repeats. Row ids ascend in order of arrival. The batch is then part of the cells."""
-        classes = self._classes(vectors)
-        part = self._append(vectors, classes)
-        again = vectors.join(classes.where("stored").select("bag", F.col("own").alias("rowid"), "first"), ["bag", "rowid"])
-        again = self._leading(again.select(F.col("first").alias("rowid"), "size", "coords")).withColumn("asking", F.lit(True))
-        postings = self.cells.select("cell", "rowid", "size", (F.col("part") == part).alias("asking")).unionByName(again)
-        best = classes.select(F.col("first").alias("query"), F.col("first").alias("kept"))
-        low, high = 0, BLOCK
-        while True:
-            met = materialise(self._probe(postings, low, high), "met")
-            near = self._rerank(met.where("member is not null").select("query", "member").distinct())
-            best = materialise(best.unionByName(near.select("query", F.col("member").alias("kept"))).groupBy("query").agg(F.min("kept").alias("kept")), "best")
-            left = met.where("reached is not null").groupBy("query").agg(F.min("reached").alias("reached"))
-            open_ = materialise(left.join(best, "query").where("reached < kept").select(F.col("query").alias("rowid")), "open")
-            if open_.isEmpty():
+    def _stored(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The vectors of new rows, appended to the store, and the name of the folder they and what follows from them go to."""
+        part = uuid.uuid4().hex
+        vectorise(rows).write.parquet(f"{self.path}/vectors/{part}")
+        vectors = self.spark.read.schema(VECTOR).parquet(f"{self.path}/vectors/{part}")
+        if not path_exists(self.spark, f"{self.path}/rarity"):
+            self.fit(vectors)
+        return vectors, part
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        """(kept_rowid, new_rowid): each row of a batch (rowid, text) that repeats an earlier one, of the history or the batch,
+        with the earliest it repeats. Row ids ascend in order of arrival. The batch is then part of the cells."""
+        earlier, history, known = self.vectors, self.cells, self.links
+        vectors, part = self._stored(rows)
+        names = vectors.select("rowid", "bag")
+        classes = names.groupBy("bag").agg(F.min("rowid").alias("query"))
+        own = materialise(self._members(vectors.join(classes.withColumnRenamed("query", "rowid"), ["bag", "rowid"], "left_semi")), "own")
+        n = own.count()
+        asks = own.withColumn("after", F.lit(NEVER))
+        postings = self._only(history, "cell", asks, n).withColumn("after", F.lit(None).cast("long")).unionByName(asks)
+        near, window, taken = None, WINDOW, TAKEN
+        while n:
+            met = materialise(self._probe(postings, window, taken), "met")
+            now = self._rerank(met.where("member is not null").select("query", "member").distinct(), vectors, earlier)
+            near = now if near is None else near.unionByName(now)
+            best = near.groupBy("query").agg(F.min("member").alias("kept"))
+            reached = met.where("reached is not null").groupBy("query").agg(F.min("reached").alias("after"))
+            open_ = materialise(reached.join(best, "query", "left").where("kept is null or after < kept").select(F.col("query").alias("rowid"), "after"), "open")
+            left, least = open_.agg(F.count("*"), F.min("after")).first()
+            if not left:
                 break
-            asking = materialise(postings.where("asking").join(small_side(open_), "rowid", "left_semi").withColumn("asking", F.lit(True)), "asking")
-            members = postings.join(small_side(materialise(asking.select("cell").distinct(), "cells")), "cell", "left_semi").withColumn("asking", F.lit(False))
-            postings = materialise(members.unionByName(asking.select(*members.columns)).groupBy("cell", "rowid").agg(F.max("size").alias("size"), F.bool_or("asking").alias("asking")), "postings")
-            low, high = high, high * 8
-        while True:  # a match may itself repeat something earlier that the query met in no cell
-            onward = best.select(F.col("query").alias("kept"), F.col("kept").alias("member")).where("member < kept")
-            pairs = best.join(onward, "kept").where("member < query").select("query", "member")
-            near = materialise(self._rerank(pairs), "onward")
-            if near.isEmpty():
+            window, taken = min(window * 16, LARGEST_WINDOW), taken * 8
+            asks = materialise(own.join(F.broadcast(open_) if left <= FEW else open_, "rowid").select(*own.columns, "after"), "asks")
+            others = self._only(history.unionByName(own.join(open_, "rowid", "left_anti")).where(F.col("rowid") > least), "cell", asks, min(n, left * CELLS))
+            postings = others.withColumn("after", F.lit(None).cast("long")).unionByName(asks)
+        while n:  # what a match repeats itself may be a match that the query met in no cell
+            best = near.groupBy("query").agg(F.min("member").alias("kept"))
+            m = near.count()
+            told = self._only(known.withColumnRenamed("new_rowid", "member"), "member", near, m).select("member", F.col("kept_rowid").alias("onward"))
+            told = told.unionByName(best.select(F.col("query").alias("member"), F.col("kept").alias("onward")))
+            pairs = near.select("query", "member").join(told, "member").join(best, "query").where("onward < kept").select("query", F.col("onward").alias("member")).distinct()
+            now = self._rerank(pairs, vectors, earlier)
+            if now.isEmpty():
                 break
-            best = materialise(best.unionByName(near.select("query", F.col("member").alias("kept"))).groupBy("query").agg(F.min("kept").alias("kept")), "best")
-        kept = classes.select("bag", F.col("first").alias("query")).join(best, "query").select("bag", "kept")
-        found = vectors.select("rowid", "bag").join(kept, "bag").where("kept < rowid")
-        return found.groupBy(F.col("rowid").alias("new_rowid")).agg(F.min("kept").alias("kept_rowid")).select("kept_rowid", "new_rowid")
-
-    def _probe(self, postings: DataFrame, low: int, high: int) -> DataFrame:
-        """(query, member, reached): the members of ranks ``low`` to ``high`` of each cell, for the later ones of right size that
-        ask; and, for those that lie behind rank ``high``, the row id that their cell has been read up to.
-
-        Cells are streamed in order of rank, so a cell of any size takes no more memory than ``high`` members.
+            near = near.unionByName(now)
+        near = near if n else self.spark.createDataFrame([], "query long, member long, same boolean")
+        fresh = own.join(near.where("same").select(F.col("query").alias("rowid")), "rowid", "left_anti").select(*own.columns)
+        fresh.sortWithinPartitions("cell", "rowid").write.parquet(f"{self.path}/cells/{part}")
+        best = near.groupBy("query").agg(F.min("member").alias("kept"))
+        kept = classes.join(best, "query", "left").select("bag", F.coalesce("kept", "query").alias("kept"))
+        found = names.join(kept, "bag").where("kept < rowid").groupBy(F.col("rowid").alias("new_rowid")).agg(F.min("kept").alias("kept_rowid"))
+        found.select("kept_rowid", "new_rowid").write.parquet(f"{self.path}/links/{part}")
+        return self.spark.read.schema("kept_rowid long, new_rowid long").parquet(f"{self.path}/links/{part}")
+
+    def _probe(self, postings: DataFrame, window: int, taken: int) -> DataFrame:
+        """(query, member, reached): for each row that asks (``after`` is set), the first ``taken`` earlier members of its cell that lie
+        behind ``after`` and within the cell's first ``window`` and that no bound rules out; and the row id up to which the cell has
+        been read for it, where more members follow.
+
+        Cells are streamed in order of rank, so a cell of any size takes no more memory than ``window`` members.
         """
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell0, head, seen = None, None, 0  # the cell at the last batch's end, its first members, how many it had so far
             for batch in batches:
-                columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "rowid", "size", "asking")]
-                if not len(columns[0]):
+                asking = batch["after"].is_valid().to_numpy(zero_copy_only=False)
+                columns = [batch[c].to_numpy() for c in ("cell", "rowid", "size")] + [batch[c].to_numpy().view(np.uint64) for c in ("low", "high")]
+                columns += [batch["after"].fill_null(NEVER).to_numpy(), asking]
+                if not len(asking):
                     continue
                 skip = extra = 0
                 if columns[0][0] == cell0:
                     skip, extra = len(head[0]), seen - len(head[0])
                     columns = [np.concatenate(x) for x in zip(head, columns)]
-                cell, row, size, asking = columns
+                cell, row, size, low, high, after, asking = columns
                 at = np.arange(len(cell))
                 begins = np.concatenate([[True], cell[1:] != cell[:-1]])
                 start = np.maximum.accumulate(np.where(begins, at, 0))
                 rank = at - start + np.where(start == 0, extra, 0)
-                ask = np.flatnonzero(asking & (rank > low) & (at >= skip))
-                queries, members = [], []
-                for j in range(low, min(high, int(rank.max()) + 1)):
-                    ask_j = ask[rank[ask] > j]
-                    if not len(ask_j):
+                ask = np.flatnonzero(asking & (rank > 0) & (at >= skip))
+                behind = ask[rank[ask] > window]
+                count = np.zeros(len(cell), np.int32)
+                queries, members, stopped, stops = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for j in range(min(window, int(rank.max()))):
+                    ask = ask[rank[ask] > j]
+                    if not len(ask):
                         break
-                    other = start[ask_j] + j
-                    small, large = np.minimum(size[ask_j], size[other]), np.maximum(size[ask_j], size[other])
-                    ok = (small >= SHARED * large) & (row[other] < row[ask_j])
-                    queries.append(row[ask_j[ok]]), members.append(row[other[ok]])
-                behind = ask[rank[ask] > high]
+                    other = start[ask] + j
+                    a, b = size[ask], size[other]
+                    least = np.ceil(SHARED * np.maximum(a, b) - 1e-9)
+                    apart = np.bitwise_count(low[ask] ^ low[other]).astype(np.int32) + np.bitwise_count(high[ask] ^ high[other])
+                    ok = (apart <= a + b - 2 * least) & (np.minimum(a, b) >= least) & (row[other] < row[ask]) & (row[other] > after[ask])
+                    if ok.any():
+                        hit = ask[ok]
+                        queries.append(row[hit]), members.append(row[other[ok]])
+                        count[hit] += 1
+                        full = ok & (count[ask] >= taken)
+                        stopped.append(ask[full & (rank[ask] > j + 1)]), stops.append(row[other[full & (rank[ask] > j + 1)]])
+                        ask = ask[~full]
+                behind = behind[count[behind] < taken]
                 n = sum(map(len, queries))
-                query = np.concatenate([*queries, row[behind]]) if queries or len(behind) else np.zeros(0, np.int64)
-                member = pa.array(np.concatenate([*members, np.zeros(len(behind), np.int64)]).astype(np.int64), mask=np.arange(len(query)) >= n)
-                reached = pa.array(np.concatenate([np.zeros(n, np.int64), row[start[behind] + high - 1]]).astype(np.int64), mask=np.arange(len(query)) < n)
-                yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), member, reached], ["query", "member", "reached"])
-                first = start[-1]
+                query = np.concatenate([*queries, row[np.concatenate(stopped)], row[behind]]).astype(np.int64)
+                reached = np.concatenate([np.zeros(n, np.int64), *stops, row[start[behind] + window - 1]]).astype(np.int64)
+                member = np.concatenate([*members, np.zeros(len(query) - n, np.int64)]).astype(np.int64)
+                first = np.arange(len(query)) < n
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(member, mask=~first), pa.array(reached, mask=first)], ["query", "member", "reached"])
+                last = start[-1]
                 cell0, seen = cell[-1], int(rank[-1]) + 1
-                head = [x[first : first + high] for x in columns]
+                head = [x[last : last + window] for x in columns]
 
         ordered = postings.repartition("cell").sortWithinPartitions("cell", "rowid")
         return ordered.mapInArrow(scan, "query long, member long, reached long")
 
-    def _rerank(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of which the smaller vector holds enough of the larger, by their full vectors."""
+    def _rerank(self, pairs: DataFrame, vectors: DataFrame, earlier: DataFrame) -> DataFrame:
+        """(query, member, same) of the pairs of which the smaller vector holds enough of the larger, by their full vectors; ``same``
+        if they are equal. Queries are of the batch (``vectors``), members of the batch or ``earlier``."""
         pairs = materialise(pairs, "pairs")
-        needed = materialise(pairs.select(F.col("query").alias("rowid")).union(pairs.select("member")).distinct(), "needed")
-        vectors = self.vectors.select("rowid", "coords")
-        if needed.count() <= FEW:
-            vectors = vectors.join(F.broadcast(needed), "rowid", "left_semi")
-        full = pairs.join(vectors.select(F.col("rowid").alias("query"), F.col("coords").alias("a")), "query")
-        full = full.join(vectors.select(F.col("rowid").alias("member"), F.col("coords").alias("b")), "member")
-        return full.where(F.size(F.array_intersect("a", "b")) >= SHARED * F.greatest(F.size("a"), F.size("b"))).select("query", "member")
+        wanted = pairs.select(F.col("member").alias("rowid"))
+        full = self._only(earlier.unionByName(vectors).select("rowid", "coords"), "rowid", wanted, pairs.count())
+        joined = pairs.join(vectors.select(F.col("rowid").alias("query"), F.col("coords").alias("a")), "query")
+        joined = joined.join(full.select(F.col("rowid").alias("member"), F.col("coords").alias("b")), "member")
+        longer, shared = F.greatest(F.size("a"), F.size("b")), F.size(F.array_intersect("a", "b"))
+        near = joined.select("query", "member", longer.alias("longer"), shared.alias("shared"))
+        return materialise(near.where(F.col("shared") >= SHARED * F.col("longer")).select("query", "member", (F.col("shared") == F.col("longer")).alias("same")).distinct(), "near")
+
 
+def p2_found(spark: SparkSession, sf_dir: str, waiting: int = WAITING) -> DataFrame:
+    """Arriving chunks whose content repeats that of an earlier row, with the earliest: (kept_rowid, new_rowid).
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving chunks whose content repeats that of an earlier row, with the earliest: (kept_rowid, new_rowid)."""
+    The history is loaded once; then batches are held against what has been accepted so far in order of their numbers (rows without
+    one last), as many at a time as are ``waiting``. The result is the same for any number.
+    """
     def read(table):
-        return vectorise(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col("chunk_rowid").alias("rowid"), F.col("content").alias("text")))
-    history, batches = read("chunks"), read("chunk_batches")
-    cells = VectorCells(spark).fit(history.unionByName(batches)).load(history)
-    return cells.accept(batches)
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+    columns = F.col("chunk_rowid").alias("rowid"), F.col("content").alias("text")
+    cells = VectorCells(spark).load(read("chunks").select(*columns))
+    arrivals = read("chunk_batches").select(*columns, "batch_no")
+    numbers = sorted((r[0] for r in arrivals.select("batch_no").distinct().collect()), key=lambda x: (x is None, x))
+    for k in range(0, len(numbers), waiting):
+        some = numbers[k : k + waiting]
+        due = F.col("batch_no").isin([x for x in some if x is not None]) | (F.col("batch_no").isNull() if None in some else F.lit(False))
+        cells.accept(arrivals.where(due).select("rowid", "text"))
+    return cells.links

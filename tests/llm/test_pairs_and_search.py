@@ -79,26 +79,71 @@ def test_history_dedup_equals_brute_force(spark):
         if near:
             expected[i] = near[0]
     df = lambda r: spark.createDataFrame(r, "rowid long, text string")
-    history, batch = H.vectorise(df(rows[:150])), H.vectorise(df(rows[150:]))
-    cells = H.VectorCells(spark).fit(history.unionByName(batch)).load(history)
-    assert {r["new_rowid"]: r["kept_rowid"] for r in cells.accept(batch).collect()} == expected
-    again = H.vectorise(df([(1001, texts[3]), (1002, texts[200]), (1003, "nothing like it at all here now")]))
+    cells = H.VectorCells(spark).load(df(rows[:150]))
+    got = {}
+    for part in (rows[150:200], rows[200:201], rows[201:]):
+        got |= {r["new_rowid"]: r["kept_rowid"] for r in cells.accept(df(part)).collect()}
+    assert got == expected == {r["new_rowid"]: r["kept_rowid"] for r in cells.links.collect()}
+    again = df([(1001, texts[3]), (1002, texts[200]), (1003, "nothing like it at all here now"), (None, "x"), (1004, None)])
     kept = {r["new_rowid"]: r["kept_rowid"] for r in cells.accept(again).collect()}
     assert kept == {1001: 4, 1002: expected.get(201, 201)}
 
 
 def test_one_text_with_many_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(H, "BLOCK", 2)
+    monkeypatch.setattr(H, "WINDOW", 2)
+    monkeypatch.setattr(H, "TAKEN", 1)
     rng = random.Random(1)
     base = [f"word{i}" for i in range(40)]
     other = [f"word{i}" for i in range(12)] + [f"else{i}" for i in range(28)]  # shares too little with the crowd
     crowd = [(i, " ".join(w for w in base if rng.random() > 0.05) + f" mark{i % 7}") for i in range(1, 120)]
     rows = crowd + [(200, " ".join(other)), (201, " ".join(other[:-3])), (202, None), (203, "  "), (201, " ".join(other[:-3]))]
-    batch = H.vectorise(spark.createDataFrame(rows, "rowid long, text string"))
-    got = {r["new_rowid"]: r["kept_rowid"] for r in H.VectorCells(spark).fit(batch).accept(batch).collect()}
+    batch = spark.createDataFrame(rows, "rowid long, text string")
+    got = {r["new_rowid"]: r["kept_rowid"] for r in H.VectorCells(spark).accept(batch).collect()}
     assert got[201] == 200 and 200 not in got and {202, 203} & set(got) == set()
     assert all(got[i] == 1 for i in range(2, 120))
-    assert H.VectorCells(spark).fit(batch.limit(0)).accept(batch.limit(0)).count() == 0
+    assert H.VectorCells(spark).accept(batch.limit(0)).count() == 0
+
+
+EDITS = {
+    "replaced by known words": lambda ws, rng: [rng.choice(ws) if rng.random() < 0.15 else w for w in ws],
+    "replaced by new words": lambda ws, rng: [f"new{rng.random()}" if rng.random() < 0.2 else w for w in ws],
+    "a quarter left out": lambda ws, rng: [w for i, w in enumerate(ws) if i % 4],
+    "a quarter appended, all new": lambda ws, rng: ws + [f"new{rng.random()}" for _ in range(len(ws) // 3)],
+    "rarest words left out": lambda ws, rng: sorted(ws, key=lambda w: -int(w[1:]))[len(ws) // 5 :],
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_cells_meet_whatever_is_edited(edit):
+    rng = random.Random(edit)
+    zipf = [f"w{int(rng.paretovariate(0.6)) % 20000}" for _ in range(200_000)]
+    texts = [[rng.choice(zipf) for _ in range(80)] for _ in range(400)]
+    counts = np.full(H.COUNTERS, 0.5)
+    for _ in range(10):
+        for ws in texts:
+            np.add.at(counts, H.coordinates(" ".join(ws)) % H.COUNTERS, 1)
+    rare, best = np.log(4000 / counts), np.log(1 / H.TELLING)
+    weights = np.maximum(np.minimum(rare, 2 * best - rare), H.LEAST_WEIGHT).astype(np.float32)
+    cells = lambda c: H.cells_of(c, np.array([0]), weights[c % H.COUNTERS])
+    near = met = 0
+    for ws in texts:
+        a, b = H.coordinates(" ".join(ws)), H.coordinates(" ".join(EDITS[edit](ws, rng)))
+        if len(np.intersect1d(a, b)) >= H.SHARED * max(len(a), len(b)):
+            near, met = near + 1, met + bool((cells(a) == cells(b)).any())
+        apart = sum(int(np.bitwise_count(x ^ y)[0]) for x, y in zip(H.sketches(a, np.array([0])), H.sketches(b, np.array([0]))))
+        assert apart <= len(np.setxor1d(a, b))
+    assert near > 20 and met / near >= 0.9
+
+
+def test_a_small_batch_reads_its_own_cells_only(spark):
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(50_000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(1, 4001)]
+    cells = H.VectorCells(spark).load(spark.createDataFrame(rows, "rowid long, text string"))
+    one = H.vectorise(spark.createDataFrame([(9001, rows[5][1] + " more")], "rowid long, text string"))
+    read = cells._only(cells.cells, "cell", cells._members(one), H.CELLS)
+    assert "PushedFilters: [Or(" in read._jdf.queryExecution().toString() and 1 <= read.count() < 2000 < cells.cells.count() == 80_000
+    assert [tuple(r) for r in cells.accept(spark.createDataFrame([(9001, rows[5][1] + " more")], "rowid long, text string")).collect()] == [(6, 9001)]
 
 
 def test_name_rules():
