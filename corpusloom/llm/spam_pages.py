@@ -1,14 +1,21 @@
 """Pages of stuffed keywords, link lists or tags instead of sentences.
 
 A text is cut into lines, and lines into sentences where they end like one. Each piece is reduced to a shape: how many
-words it has, whether it begins with a capital and ends like a sentence, its separators, its links, how many of its
-words are function words and how many belong to the few words that the page keeps coming back to. The text of a page is
-summed by shape, and a page is flagged if most of it lies in shapes that are not sentences and a few such shapes
-make up nearly all of that.
-
-Repeated pieces count towards a page's length each time, but only once when the words it comes back to are counted,
-so a refrain doesn't make its words suspicious. Tags and JSON syntax are taken off first; link targets count as links, not as
-words. Null, empty and blank texts are never flagged. Rows that come twice give one row; whole texts are read, of any length.
+words it has, whether it begins with a capital and ends like a sentence, its separators, its links, how much of it
+reads on as texts of the corpus do, and how much of it are words that the page keeps coming back to. Nothing is listed by
+language. What reads on is counted over the whole corpus first: two words follow each other like in a sentence if that
+pair is common and makes up a good part of all uses of the rarer of them ("the lantern", "of the"), which keywords put next to
+each other aren't. A piece whose words the corpus hardly knows (a language it has little of) isn't judged by that.
+
+Which shapes are sentences is learned, too. Some are certain: what consists of links or separators, or doesn't read on at
+all, is no sentence, nor are words that the page keeps coming back to where they don't read on; what reads on, with few separators and without the page's returning words, is one. Every other shape is
+what it goes with: the share of non-sentence text among the certain text of the pages that have it, in rounds until no
+shape changes its kind. A page is flagged if most of its text lies in shapes that are not sentences and a few such shapes
+make up nearly all of that, as a generator's or a list's do; a page of many different fragments is not.
+
+Pieces that a page repeats three times or more (a refrain, a form's line) are no sign of stuffing by themselves. Tags and JSON syntax are
+taken off first; link targets count as links, not as words. Null, empty and blank texts are never flagged. Rows that
+come twice give one row; whole texts are read, of any length.
 """
 
 from __future__ import annotations
@@ -16,31 +23,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Function words of the corpus languages (en, fr, de, es).
-FUNCTION_WORDS = frozenset(
-    """
-    a an the this that these those and or but nor so if when while though although because than as of to in on at by for from
-    with without into onto over under after before until since between near next there here it its is are was were be been
-    being has have had do does did not no nobody someone who whom whose which what why how where he she they we i you my your
-    our his her their them us me one two all most some each any every only once twice later would should could can may might
-    will shall please last still both past amid beneath beside beyond behind despite during against along inside throughout
-    upon formerly many about through out up down off again more very just like then also such other same few own
-    le la les un une des du de d l et ou mais donc car que qu qui quoi dont où ce cet cette ces il elle on ils elles nous vous
-    je tu se s n ne pas plus à au aux en dans sur sous avec sans pour par avant après depuis pendant entre chez est sont était
-    ont avait faut être avoir quand pourquoi personne aussi lieu côté près c j m y si son sa ses leur leurs notre votre comme
-    der die das den dem des ein eine einen einem einer eines und oder aber denn wenn als dass ob weil seit bevor nachdem nicht
-    kein keine niemand man es er sie wir ich ihr mir mich uns sich ist sind war waren wird werden wurde wurden hat haben hatte
-    hatten mit von vom zu zum zur bei beim für auf am im aus nach über unter vor neben ebenso warum wo wie was wer mal auch
-    noch nur schon sehr durch gegen ohne um zwischen
-    el los las uno una unos unas y o pero del al con sin por para desde hasta sobre antes cuando mientras porque como no nadie
-    ser era fue está sigue lo su sus mi yo ella ellos nos también junto qué quién lugar cerca que sí ya más muy este esta
-    """.split()
-)
+from corpusloom.functions.workspace import materialise
+
+IDEOGRAPH = "぀-ヿ㐀-鿿"
 LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*", re.IGNORECASE)
 ANCHOR = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"' >]*)[^<>]*>", re.IGNORECASE)
 BLOCK_TAG = re.compile(r"</?(?:p|div|li|ul|ol|br|h\d|tr|td|th|table|body|html|section|article)\b[^<>]*>", re.IGNORECASE)
@@ -48,15 +41,24 @@ TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 JSON_KEY = re.compile(r"[\[{,]*\s*[{,]?\s*\"[A-Za-z_]{1,20}\"\s*:\s*\"(?:user|assistant|system|human|tool)?")
 #: A speaker at the head of a line belongs to the transcript, not to what was said.
-SPEAKER = re.compile(r"(?:^\W{0,4}|\*\*)(?:user|assistant|human|system|tool|q|a)\W{0,2}:\W{0,4}", re.IGNORECASE | re.MULTILINE)
-SENTENCE = re.compile(r".+?(?:[.!?…]+[\"'”»)\]]*(?=\s|$)|$)", re.DOTALL)
-WORD = re.compile(r"[^\W\d_]+")
+SPEAKER = re.compile(r"(?:^\W{0,4}(?:[\w-]{1,36}[,;\t])?|\*\*)(?:user|assistant|human|system|tool|q|a)(?:\W{0,2}:|[,;\t])\W{0,4}", re.IGNORECASE | re.MULTILINE)
+SENTENCE = re.compile(r".+?(?:[.!?…؟।]+[\"'”»)\]]*(?=\s|$)|[。！？]+[」』”]*|$)", re.DOTALL)
+WORD = re.compile(rf"[{IDEOGRAPH}]|[^\W\d_{IDEOGRAPH}]+")
 SEPARATORS = re.compile(r"[,;|/•·#+»›]|\s[-–—]\s")
-SENTENCE_END = re.compile(r"[.!?…:][\"'”»)\]}]*$")
-#: A word is one the page comes back to if it makes up this share of its distinct pieces' content words, and this many.
+SENTENCE_END = re.compile(r"[.!?…:؟।。！？][\"'”»)\]}」』]*$")
+#: Share of the pages that a common pair of words is on, and of the pages of the rarer word that it is on; share of the pages that a word
+#: the corpus knows is on, and that one is on which no page is about. They bound the tables: no more than 1 / share times a page's words.
+PAIR, COHERENT, KNOWN, EVERYWHERE = 3e-4, 0.2, 1e-3, 0.1
+#: A page count below which a pair and a known word are an accident.
+PAIR_LEAST, KNOWN_LEAST = 3, 4
+#: A word is one the page comes back to if it makes up this share of its distinct pieces' words, and this many.
 RETURNING, RETURNING_LEAST = 0.03, 4
+#: A piece is a refrain from so many times on; it is judged by its pairs of words only if it has so many words, so many of them known.
+REFRAIN, JUDGED_FROM, JUDGED = 3, 4, 0.5
+#: A shape is no sentence if the text it goes with is to this share; rounds of learning at most.
+GOES_WITH, ROUNDS = 0.6, 4
 #: A page is flagged from this share of non-sentence matter, of which this share lies in this many shapes.
-MOST, FEW, NEARLY_ALL = 0.5, 24, 0.8
+MOST, FEW, NEARLY_ALL = 0.5, 8, 0.75
 
 
 def pieces(text: str) -> list[str]:
@@ -67,66 +69,196 @@ def pieces(text: str) -> list[str]:
         text = JSON_KEY.sub("\n", text)
     if "<" in text:
         text = TAG.sub(" ", BLOCK_TAG.sub("\n", ANCHOR.sub(r" \1 ", text)))
-    if ":" in text:
-        text = SPEAKER.sub("\n", text)
+    text = SPEAKER.sub("\n", text)
     out = []
     for line in text.splitlines():
         out += [s for m in SENTENCE.finditer(line) if (s := m[0].strip())]
     return out
 
 
-def shapes(text: str) -> dict[str, int]:
-    """Visible characters of the text in each shape; a shape's first letter says whether it is a sentence's (s) or not (n)."""
+def spoken(piece: str) -> list[str]:
+    return WORD.findall((LINK.sub(" ", piece) if "/" in piece or "www." in piece else piece).lower())
+
+
+@lru_cache(1 << 18)
+def _number(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def numbers(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_number, words), np.uint64, len(words))
+
+
+def paired(words: np.ndarray) -> np.ndarray:
+    """A number for each word with the next."""
+    mixed = (words[:-1] ^ (words[:-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, pair, pages): on how many pages a word (a) and a pair of words (a, b) are, pieces seen before in the batch left out; the
+    number of pages in a row of nulls."""
+    for batch in batches:
+        seen, firsts, seconds, words, pages = set(), [], [], [], 0
+        for text in batch["text"].to_pylist():
+            a, b, w = [], [], []
+            for ws in map(spoken, pieces(text)):
+                key = hash(tuple(ws))
+                if ws and key not in seen:
+                    seen.add(key)
+                    a += ws[:-1]
+                    b += ws[1:]
+                    w += ws
+            if w:
+                pages += 1
+                pair = np.stack([numbers(a), numbers(b)], axis=1) if a else np.zeros((0, 2), np.uint64)
+                pair = pair[np.unique((pair[:, 0] * np.uint64(31)) ^ (pair[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]]
+                firsts.append(pair[:, 0]), seconds.append(pair[:, 1]), words.append(np.unique(numbers(w)))
+        if not pages:
+            continue
+        a, b, w = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(words)
+        key = (a * np.uint64(31)) ^ (b * np.uint64(0x9E3779B97F4A7C15))
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        word, m = np.unique(w, return_counts=True)
+        one = pa.array(np.concatenate([a[at], word, [np.uint64(0)]]).view(np.int64), mask=np.arange(len(at) + len(word) + 1) == len(at) + len(word))
+        two = pa.array(np.concatenate([b[at], np.zeros(len(word) + 1, np.uint64)]).view(np.int64), mask=np.arange(len(at) + len(word) + 1) >= len(at))
+        yield pa.RecordBatch.from_arrays([one, two, pa.array(np.concatenate([n, m, [pages]]).astype(np.int64))], ["a", "b", "pages"])
+
+
+class Usage:
+    """What the corpus tells of words, as sorted arrays of numbers: coherent pairs, known words, words that are everywhere."""
+
+    def __init__(self, pairs=(), known=(), everywhere=()):
+        self.pairs, self.known, self.everywhere = (np.sort(np.array(x, np.uint64)) for x in (pairs, known, everywhere))
+
+    @staticmethod
+    def holds(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(table):
+            return np.zeros(len(values), bool)
+        return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def corpus_usage(texts: DataFrame) -> Usage:
+    """Counted over all texts (text); only what is common enough to be bounded (see PAIR, KNOWN) comes to the driver."""
+    counted = texts.select("text").mapInArrow(_usage, "a long, b long, pages long").groupBy("a", "b").agg(F.sum("pages").alias("pages"))
+    counted = materialise(counted, "usage")
+    total = counted.where("a is null").agg(F.sum("pages")).first()[0] or 0
+    words = counted.where("a is not null and b is null").where(F.col("pages") >= max(KNOWN_LEAST, min(KNOWN, PAIR) * total)).select("a", "pages")
+    common = counted.where("b is not null").where(F.col("pages") >= max(PAIR_LEAST, PAIR * total))
+    rarer = common.join(words.select("a", F.col("pages").alias("n")), "a").join(words.select(F.col("a").alias("b"), F.col("pages").alias("m")), "b")
+    coherent = rarer.where(F.col("pages") >= COHERENT * F.least("n", "m")).select("a", "b").toArrow()
+    known = words.where(F.col("pages") >= max(KNOWN_LEAST, KNOWN * total)).select("a", "pages").toArrow()
+    a, b = (coherent[c].to_numpy().view(np.uint64) for c in ("a", "b"))
+    number, pages = known["a"].to_numpy().view(np.uint64), known["pages"].to_numpy()
+    return Usage(paired(np.stack([a, b], axis=1).ravel())[::2] if len(a) else (), number, number[pages >= EVERYWHERE * total])
+
+
+def shapes(text: str, usage: Usage) -> dict[str, int]:
+    """Visible characters of the text in each shape, written as eight signs: words, capital, end, separators, links, reading on,
+    returning words, refrain."""
     parts = pieces(text)
-    spoken = [WORD.findall(LINK.sub(" ", p).lower()) if "/" in p or "www." in p else WORD.findall(p.lower()) for p in parts]
-    content = Counter(w for ws in {tuple(ws) for ws in spoken} for w in ws if w not in FUNCTION_WORDS)
+    said = [spoken(p) for p in parts]
+    length = np.array([len(ws) for ws in said])
+    flat = numbers([w for ws in said for w in ws])
+    ends = np.cumsum(length)
+    total = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    known, everywhere = total(usage.holds(usage.known, flat)), usage.holds(usage.everywhere, flat)
+    on = total(usage.holds(usage.pairs, paired(flat))) if len(flat) > 1 else np.zeros(len(flat) + 1, int)
+    times = Counter(map(tuple, said))
+    content: Counter = Counter()
+    at, distinct = 0, set()
+    for piece, ws, e in zip(parts, said, ends):
+        if piece not in distinct:
+            distinct.add(piece)
+            content.update(w for w, common in zip(ws, everywhere[e - len(ws) : e]) if not common)
     least = max(RETURNING_LEAST, RETURNING * content.total())
     returning = {w for w, c in content.items() if c >= least}
     out: Counter = Counter()
-    for piece, ws in zip(parts, spoken):
-        n = len(ws)
-        own = [w for w in ws if w not in FUNCTION_WORDS]
-        grammar = 1 - len(own) / n if n else 0.0
+    for piece, ws, e in zip(parts, said, ends):
+        n, at = len(ws), e - len(ws)
+        own = [w for w, common in zip(ws, everywhere[at:e]) if not common]
         back = sum(w in returning for w in own) / len(own) if own else 0.0
         links = len(LINK.findall(piece)) if "/" in piece or "www." in piece else 0
         gaps = len(SEPARATORS.findall(LINK.sub("", piece) if links else piece))
-        closed = bool(SENTENCE_END.search(piece))
-        if links and n < 8 * links or n == 0:
-            kind = "n"
-        elif n < 4:
-            kind = "n" if gaps or back >= 0.5 and not closed and not (n == 1 and piece[0].isupper()) else "s"
-        elif grammar < 0.09 or gaps >= 3 and gaps > n / 3 or back >= 0.45 and grammar < 0.27 or back >= 0.7 and grammar < 0.34 and not closed:
-            kind = "n"
-        else:
-            kind = "s"
-        shape = f"{kind}{min(n.bit_length(), 6)}{'A' if piece[:1].isupper() else 'a'}{'.' if closed else ' '}{min(gaps * 4 // max(n, 1), 3)}{min(links, 2)}{int(grammar * 4)}{int(back * 2)}"
-        out[shape] += len(piece) - piece.count(" ")
+        reads = "x"
+        if n >= JUDGED_FROM and known[e] - known[at] >= JUDGED * n:
+            share = (on[e - 1] - on[at]) / (n - 1)
+            reads = "0" if share < 0.1 else "1" if share < 0.25 else "2" if share < 0.4 else "3"
+        many = "0" if n == 0 else "1" if n < 4 else "2" if n < 12 else "3"
+        apart = "0" if gaps == 0 or gaps < 3 and n >= 4 else "1" if gaps <= n / 3 else "2"
+        linked = "0" if not links else "1" if n >= 8 * links else "2"
+        again = "r" if n and not links and times[tuple(ws)] >= REFRAIN else "-"
+        end = "." if SENTENCE_END.search(piece) else "_"
+        out[f"{many}{'A' if piece[0].isupper() else 'a'}{end}{apart}{linked}{reads}{'0' if back < 0.45 else '1' if back < 0.7 else '2'}{again}"] += len(piece) - piece.count(" ")
     return dict(out)
 
 
-def _shape_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, names, sizes = [], [], []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            found = shapes(text)
-            docs.append(doc), names.append(list(found)), sizes.append(list(found.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int64()))], ["doc_id", "shape", "size"])
+def certain(shape: str) -> str | None:
+    """n or s for a shape that is certainly no sentence or one; None for one that has to be learned."""
+    many, head, end, apart, linked, reads, back, again = shape
+    if many == "0" or linked == "2" or apart == "2" or many in "23" and reads == "0":
+        return "n"
+    if back in "12" and (many in "23" and (reads in "x01" or end + back + reads == "_22") or many == "1" and head + end + again == "a_-"):
+        return "n"
+    return "s" if again == "r" or many in "23" and reads == "3" and back == "0" else None
 
 
-def page_shapes(documents: DataFrame) -> DataFrame:
-    """(doc_id, shape, size): the visible characters of every page in each shape."""
-    docs = documents.where("doc_id is not null and text rlike '[^ \\\\t\\\\r\\\\n]'").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    arrays = docs.mapInArrow(_shape_rows, "doc_id long, shape array<string>, size array<long>")
+def page_shapes(documents: DataFrame, usage: Usage) -> DataFrame:
+    """(doc_id, shapes): the visible characters of every page in each shape."""
+    shared = documents.sparkSession.sparkContext.broadcast(usage)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, names, sizes = [], [], []
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                found = shapes(text, shared.value)
+                docs.append(doc), names.append(list(found)), sizes.append(list(found.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int64()))], ["doc_id", "shape", "size"])
+
+    arrays = documents.mapInArrow(run, "doc_id long, shape array<string>, size array<long>")
     return arrays.select("doc_id", F.arrays_zip("shape", "size").alias("shapes"))
 
 
+def learned_kinds(pages: DataFrame) -> dict[str, str]:
+    """n or s for every shape that occurs. The number of shapes is bounded by their signs (a few thousand)."""
+    kinds = {r[0]: certain(r[0]) for r in pages.select(F.explode("shapes.shape")).distinct().collect()}
+    open_ = [s for s, k in kinds.items() if k is None]
+    for _ in range(ROUNDS if open_ else 0):
+        now = dict(kinds)
+
+        def company(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bad, all_ = Counter(), Counter()
+                for found in batch["shapes"].to_pylist():
+                    sizes = {x["shape"]: x["size"] for x in found}
+                    no, yes = (sum(v for s, v in sizes.items() if now.get(s) == k) for k in "ns")
+                    for s, v in sizes.items():
+                        if certain(s) is None:
+                            n, y = no - v * (now.get(s) == "n"), yes - v * (now.get(s) == "s")
+                            if n + y:
+                                bad[s] += v * n / (n + y)
+                                all_[s] += v
+                yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.string()), pa.array([bad[s] for s in all_], pa.float64()), pa.array(list(all_.values()), pa.float64())], ["shape", "bad", "total"])
+
+        told = pages.select("shapes").mapInArrow(company, "shape string, bad double, total double").groupBy("shape").agg((F.sum("bad") / F.sum("total")).alias("share")).collect()
+        share = {r["shape"]: r["share"] for r in told}
+        kinds |= {s: "n" if share.get(s, 0.0) >= GOES_WITH else "s" for s in open_}
+        if kinds == now:
+            break
+    return kinds
+
+
 def spam_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, share): pages dominated by few shapes that are not sentences, and the share of such matter."""
+    docs = documents.where("doc_id is not null and text rlike '[^ \\\\t\\\\r\\\\n]'").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pages = materialise(page_shapes(docs, corpus_usage(docs)), "shapes")
+    none = [s for s, k in learned_kinds(pages).items() if k == "n"]
+
     def total(shapes):
         return F.aggregate(shapes, F.lit(0).cast("long"), lambda a, x: a + x["size"])
-    bad = F.filter("shapes", lambda x: x["shape"].startswith("n"))
+    bad = F.filter("shapes", lambda x: x["shape"].isin(none)) if none else F.slice("shapes", 1, 0)
     top = F.slice(F.reverse(F.array_sort(F.transform(bad, lambda x: F.struct(x["size"].alias("size"), x["shape"].alias("shape"))))), 1, FEW)
-    shares = page_shapes(documents).select("doc_id", (total(bad) / F.greatest(total(F.col("shapes")), F.lit(1))).alias("share"), (total(top) / F.greatest(total(bad), F.lit(1))).alias("few"))
+    shares = pages.select("doc_id", (total(bad) / F.greatest(total(F.col("shapes")), F.lit(1))).alias("share"), (total(top) / F.greatest(total(bad), F.lit(1))).alias("few"))
     return shares.where((F.col("share") >= MOST) & (F.col("few") >= NEARLY_ALL)).groupBy("doc_id").agg(F.max("share").alias("share"))
 
 

@@ -95,15 +95,50 @@ FINE = {
 }
 
 
-def test_spam_pages(spark):
+def test_spam_pages(spark, sf_dir):
     texts = {**SPAM, **FINE, "blank": " \n\t", "empty": "", "null": None}
     names = list(texts)
     df = spark.createDataFrame([(i, texts[n], "s") for i, n in enumerate(names)] + [(0, texts[names[0]], "s")], "doc_id long, text string, shape string")
-    got = [r["doc_id"] for r in S.spam_pages(df).collect()]
+    background = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").selectExpr("-1 - doc_id as doc_id", "text", "source as shape")
+    got = [r["doc_id"] for r in S.spam_pages(df.unionByName(background)).collect() if r["doc_id"] >= 0]
     assert sorted(names[i] for i in got) == sorted(SPAM) and len(got) == len(set(got))
     assert S.spam_pages(df.limit(0)).count() == 0
 
 
+FOREIGN = {
+    "ru": "Сегодня утром мы долго гуляли по набережной. Потом пошёл сильный дождь, и нам пришлось вернуться домой. Вечером сестра приготовила ужин, а брат читал вслух старую книгу. Завтра мы снова пойдём к реке.",
+    "zh": "今天早上我们在河边散步了很久。后来下起了大雨，我们只好回家。晚上妹妹做了晚饭，弟弟大声读了一本旧书。明天我们还要再去河边。",
+    "tr": "Bu sabah sahilde uzun süre yürüdük. Sonra şiddetli yağmur başladı ve eve dönmek zorunda kaldık. Akşam kız kardeşim yemek yaptı, erkek kardeşim eski bir kitabı yüksek sesle okudu. Yarın tekrar nehre gideceğiz.",
+    "pl": "Dziś rano długo spacerowaliśmy po nabrzeżu. Potem zaczął padać deszcz i musieliśmy wrócić do domu. Wieczorem siostra ugotowała kolację, a brat czytał na głos starą książkę. Jutro znowu pójdziemy nad rzekę.",
+    "pt": "Hoje de manhã passeamos muito tempo pelo cais. Depois começou a chover e tivemos de voltar para casa. À noite a irmã fez o jantar e o irmão leu em voz alta um livro antigo. Amanhã voltaremos ao rio.",
+    "it": "Stamattina abbiamo passeggiato a lungo sul molo. Poi è cominciato a piovere e siamo dovuti tornare a casa. La sera mia sorella ha preparato la cena e mio fratello ha letto ad alta voce un vecchio libro. Domani torneremo al fiume.",
+}
+
+
+def test_prose_of_languages_the_corpus_hardly_has(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    extra = [(-1 - i, t * 3) for i, t in enumerate(FOREIGN.values())]
+    stuffed = [(-100 - i, " ".join(random.Random(i).choice("lantern cheap bridge buy harbour price deal".split()) for _ in range(150))) for i in range(3)]
+    got = {r["doc_id"] for r in S.spam_pages(docs.unionByName(spark.createDataFrame(extra + stuffed, docs.schema))).collect()}
+    assert not got & {i for i, _ in extra} and {i for i, _ in stuffed} <= got
+    assert not S.spam_pages(spark.createDataFrame(extra, docs.schema)).count()
+
+
+def test_few_shapes_decide(spark, monkeypatch):
+    rng = random.Random(2)
+    odd = []
+    for n in (0, 2, 6, 20):
+        for end in (".", ""):
+            for links in (1, 2):
+                for head in ("Aa", "bb"):
+                    odd.append(" ".join([head] * (n > 0) + [f"q{rng.random()}" for _ in range(n)] + [f"https://{rng.random()}.test/x"] * (links * (1 + n // 3))) + end)
+    page = [(1, "\n".join(line for o in odd for line in [o] * (3000 // (len(o) + 1)))), (2, "\n".join(f"lamp {i} https://a{i}.test/x" for i in range(40)))]
+    df = spark.createDataFrame(page, "doc_id long, text string")
+    assert [r["doc_id"] for r in S.spam_pages(df).collect()] == [2]
+    monkeypatch.setattr(S, "NEARLY_ALL", 0.0)
+    assert sorted(r["doc_id"] for r in S.spam_pages(df).collect()) == [1, 2]
+
+
 def test_registered_queries_run(spark, sf_dir):
     from corpusloom.llm.registry import llm_queries
 
