@@ -74,7 +74,9 @@ _SAID = "coalesce(nullif(text, ''), array_to_string(content, chr(10)), '')"
 _WHO = "CASE coalesce(nullif(sender, ''), nullif(role, ''), 'unknown') WHEN 'human' THEN 'User' ELSE {} END"
 _RAW = "coalesce(nullif(sender, ''), nullif(role, ''), 'unknown')"
 _TITLED = f"array_to_string(list_transform(string_split({_RAW}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
-_STRIP = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<br\\s*/?>', chr(10), 'g'), '</?(?:div|p|h[1-6]|section)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+_PIECE = "CASE WHEN instr(t, '>') <= 1 THEN '<' || t ELSE CASE WHEN regexp_extract(lower(t), '^/?([a-z0-9]+)', 1) IN ('" + "', '".join(markup.LINE_TAGS) + "') THEN chr(10) ELSE '' END || substr(t, instr(t, '>') + 1) END"
+_CUT = f"string_split(regexp_replace(text, '{markup.HIDDEN_ELEMENT}', '', 'g'), '<')"
+_STRIP = f"trim(regexp_replace({_CUT}[1] || array_to_string(list_transform({_CUT}[2:], lambda t: {_PIECE}), ''), '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
 
 _PAIRS = """g AS (SELECT DISTINCT id AS conv_id, coalesce(nullif(title, ''), 'Untitled') AS title, flatten(list_transform(coalesce(messages, []), lambda m: list_filter([CASE WHEN coalesce(m.prompt, '') <> '' THEN '**User:** ' || m.prompt END,
  CASE WHEN coalesce(m.response, '') <> '' THEN '**Gemini:** ' || m.response END], lambda x: x IS NOT NULL))) AS lines FROM gemini_conversations)"""
@@ -103,7 +105,7 @@ QUERIES = {
     "html_pages": (html_pages, f"SELECT doc_id, {_STRIP} AS plain FROM documents WHERE text LIKE '<%'"),
     "question_counts": (
         question_counts,
-        r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)\*\*Q(?:uestion)?[:\*]|\*\*User[:\*]')) AS questions, len(regexp_extract_all(coalesce(text, ''), '(?i)\*\*A(?:nswer)?[:\*]|\*\*(?:AI|Assistant|Perplexity)[:\*]')) AS answers FROM documents""",
+        f"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{markup.labelled(markup.ASKED)}')) AS questions, len(regexp_extract_all(coalesce(text, ''), '{markup.labelled(markup.ANSWERED)}')) AS answers FROM documents""",
     ),
     "cited_links": (cited_links, r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), 'https?://\S+')) AS links, coalesce(array_to_string(regexp_extract_all(coalesce(text, ''), 'https?://\S+')[1:50], ' '), '') AS first_links FROM documents"),
     "parse_documents": (parse_documents, None),

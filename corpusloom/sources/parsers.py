@@ -1,368 +1,188 @@
-"""Files to text: one parser per format, and a table function that runs the right one on every file.
+"""Files to text: every format by column expressions, but for containers, whose bytes a helper unpacks.
 
-Each parser takes a file's bytes and gives its text, metadata and members. Broken input never raises: it gives no text and an
-``error`` in the metadata. Members of archives come out as rows of their own and can be parsed in a second pass.
+Chat exports are read with ``from_json`` and variants and rendered like the exports held as tables; texts and pages are
+decoded; members of archives come out as rows of their own for another pass. Broken input never raises: it gives an empty
+text and an ``error`` in the metadata. Null content counts as empty. PDF, images and audio give metadata only: their
+text needs extraction, recognition or transcription that isn't part of this engine.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import json
-import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timezone
 from pathlib import PurePosixPath
-from typing import Any, NamedTuple
 from xml.etree import ElementTree
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators.files import media_type, parser_of
+from corpusloom.sources import markup
 
-MOST_TEXT = 50 * 1024 * 1024
 MOST_DEPTH, MOST_MEMBERS, MOST_UNPACKED = 3, 1000, 100 * 1024 * 1024
 BETWEEN = "\n---\n\n"
+CHATS = ("chatgpt", "claude", "gemini", "ai_generic")
+MEMBERS = "array<struct<name:string,content:binary>>"
+NODE = "struct<parent:string,message:struct<author:struct<role:string>,content:struct<parts:array<variant>>>>"
+TREES = f"array<struct<title:string,current_node:string,mapping:map<string,{NODE}>>>"
+MESSAGE = "struct<sender:string,role:string,text:string,content:variant,prompt:string,query:string,response:string,answer:string>"
+LISTS = f"array<struct<name:string,title:string,chat_messages:array<{MESSAGE}>,messages:array<{MESSAGE}>,turns:array<{MESSAGE}>,conversation:array<{MESSAGE}>>>"
+TURNS = "array<struct<who:string,said:string>>"
 
 
-class Parsed(NamedTuple):
-    text: str = ""
-    metadata: dict[str, Any] = {}
-    members: tuple[tuple[str, bytes], ...] = ()
+def _filled(*columns: Column) -> Column:
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
-def failed(why: str, **more: Any) -> Parsed:
-    return Parsed("", {**more, "error": why})
+def _string(value: Column) -> Column:
+    """A variant's text, null for one of another type."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def load_json(data: bytes) -> Any:
-    try:
-        return json.loads(data)
-    except (ValueError, UnicodeDecodeError):
-        return None
+def _text_of(content: Column) -> Column:
+    """A message's content, given as a text, a list of texts, or a list of records with texts."""
+    piece = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), _string(x))
+    listed = F.try_variant_get(content, "$", "array<variant>")
+    return F.when(listed.isNotNull(), F.array_join(F.transform(listed, piece), "\n")).otherwise(_string(content))
 
 
-def first(record: dict, *keys: str, default: Any = "") -> Any:
-    """The first of the fields that holds something."""
-    return next((record[k] for k in keys if record.get(k)), default)
+def tree_turns(current: Column, mapping: Column) -> Column:
+    """Turns on the path from the root to the current node; of all nodes in file order where there is no such node."""
+    begin = F.struct(current.alias("at"), F.array().cast("array<string>").alias("path"))
 
+    def up(state: Column, _: Column) -> Column:
+        on = F.coalesce(F.map_contains_key(mapping, state["at"]), F.lit(False)) & ~F.array_contains(state["path"], state["at"])
+        return F.when(on, F.struct(mapping[state["at"]]["parent"].alias("at"), F.concat(F.array(state["at"]), state["path"]).alias("path"))).otherwise(state)
 
-def rendered(title: str, turns: list[tuple[str, str]], tail: list[str] = ()) -> str:
-    lines = [f"# {title}", ""]
-    for speaker, said in turns:
-        lines += [f"**{speaker}:** {said}", ""]
-    return "\n".join([*lines, *tail])
+    path = F.aggregate(F.map_keys(mapping), begin, up, lambda s: s["path"])
+    nodes = F.when(F.coalesce(F.map_contains_key(mapping, current), F.lit(False)), path).otherwise(F.map_keys(mapping))
 
+    def turn(key: Column) -> Column:
+        message = mapping[key]["message"]
+        role = F.coalesce(message["author"]["role"], F.lit("unknown"))
+        parts = F.filter(F.transform(message["content"]["parts"], _string), lambda p: p.isNotNull())
+        who = F.when(role.isin("user", "assistant", "system"), F.initcap(role)).otherwise(role)
+        return F.struct(who.alias("who"), F.btrim(F.coalesce(F.array_join(parts, "\n"), F.lit("")), F.lit(" \t\r\n")).alias("said"))
 
-def spoken(content: Any) -> str:
-    """A message's content, given as a text, a list of texts, or a list of records with texts."""
-    if isinstance(content, list):
-        return "\n".join(p if isinstance(p, str) else str(p.get("text", "")) for p in content if isinstance(p, (str, dict)) and p)
-    return content or ""
-
-
-def together(platform: str, conversations: list[dict], texts: list[str], times: list, **more: Any) -> Parsed:
-    meta = {"platform": platform, "conversation_count": len(conversations), "total_messages": sum(c["message_count"] for c in conversations), **more, "conversations": conversations}
-    if times:
-        meta["date_range"] = {"earliest": min(times), "latest": max(times)}
-    return Parsed(BETWEEN.join(texts), meta)
-
-
-def iso(seconds: Any) -> str | None:
-    if isinstance(seconds, bool) or not isinstance(seconds, (int, float)) or seconds <= 0:
-        return None
-    try:
-        return datetime.fromtimestamp(seconds, timezone.utc).isoformat()
-    except (OverflowError, OSError, ValueError):
-        return None
-
-
-def parse_text(path: str, data: bytes) -> Parsed:
-    if len(data) > MOST_TEXT:
-        return failed("file_too_large")
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        text = data.decode("latin-1")
-    return Parsed(text, {"extension": PurePosixPath(path).suffix.lower(), "line_count": text.count("\n") + 1, "char_count": len(text)})
-
-
-def parse_pdf(path: str, data: bytes) -> Parsed:
-    """Runs of more than four printable characters; a PDF library is not required."""
-    runs = [m.decode("ascii") for m in re.findall(rb"[\t\n\r -~]{5,}", data)]
-    text = "\n".join(runs)
-    return Parsed(text, {"fallback": True, "char_count": len(text)})
-
-
-def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    return ElementTree.fromstring(archive.read(name))
-
-
-def _local(node: ElementTree.Element) -> str:
-    return node.tag.rpartition("}")[2]
-
-
-def parse_office(path: str, data: bytes) -> Parsed:
-    kind = PurePosixPath(path).suffix.lower()
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            names = archive.namelist()
-            numbered = lambda prefix: sorted((n for n in names if re.fullmatch(prefix + r"\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-            if kind == ".docx":
-                paragraphs = ["".join(t.text or "" for t in p.iter() if _local(t) == "t") for p in _xml(archive, "word/document.xml").iter() if _local(p) == "p"]
-                paragraphs = [p for p in paragraphs if p.strip()]
-                text = "\n\n".join(paragraphs)
-                return Parsed(text, {"paragraph_count": len(paragraphs), "char_count": len(text)})
-            if kind == ".pptx":
-                slides = []
-                for i, name in enumerate(numbered("ppt/slides/slide"), 1):
-                    said = ["".join(t.text or "" for t in p.iter() if _local(t) == "t").strip() for p in _xml(archive, name).iter() if _local(p) == "p"]
-                    slides.append("\n".join([f"## Slide {i}", *(s for s in said if s)]))
-                text = "\n\n".join(slides)
-                return Parsed(text, {"slide_count": len(slides), "char_count": len(text)})
-            if kind == ".xlsx":
-                shared = ["".join(t.text or "" for t in s.iter() if _local(t) == "t") for s in _xml(archive, "xl/sharedStrings.xml") if _local(s) == "si"] if "xl/sharedStrings.xml" in names else []
-                titles = [s.get("name", "") for s in _xml(archive, "xl/workbook.xml").iter() if _local(s) == "sheet"]
-                rows = []
-                for title, name in zip(titles, numbered("xl/worksheets/sheet")):
-                    rows.append(f"## Sheet: {title}")
-                    for row in (r for r in _xml(archive, name).iter() if _local(r) == "row"):
-                        cells = []
-                        for cell in (c for c in row if _local(c) == "c"):
-                            value = "".join(v.text or "" for v in cell.iter() if _local(v) in ("v", "t"))
-                            cells.append(shared[int(value)] if cell.get("t") == "s" and value else value)
-                        rows.append("\t".join(cells))
-                text = "\n".join(rows)
-                return Parsed(text, {"sheet_count": len(titles), "char_count": len(text)})
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError, EOFError) as e:
-        return failed(f"corrupt_{kind[1:]}: {e}")
-    return failed("unknown_office_format")
-
-
-def parse_image(path: str, data: bytes) -> Parsed:
-    return Parsed("", {"format": PurePosixPath(path).suffix.lower()[1:], "file_size": len(data), "needs_ocr": True})
-
-
-def parse_audio(path: str, data: bytes) -> Parsed:
-    return Parsed("", {"format": PurePosixPath(path).suffix.lower()[1:], "file_size": len(data), "needs_transcription": True})
-
-
-def _unpacked(entries: Iterator[tuple[str, int, Any]], kind: str) -> Parsed:
+    return F.filter(F.transform(nodes, turn), lambda t: t["said"] != "").cast(TURNS)
+
+
+def list_turns(messages: Column, parser: Column) -> Column:
+    """Turns of a list of messages: a prompt and its response, or what a sender said."""
+    pairs = F.when(parser == "gemini", "Gemini").otherwise("AI")
+
+    def turns(m: Column) -> Column:
+        sender = F.lower(F.coalesce(_filled(m["sender"], m["role"]), F.lit("unknown")))
+        who = F.when(sender.isin("user", "human"), "User").when(parser == "claude", F.initcap(sender)).otherwise(pairs)
+        asked, answered = _filled(m["prompt"], m["query"]), _filled(m["response"], m["answer"])
+        said = F.when(asked.isNull() & answered.isNull(), _filled(m["text"], _text_of(m["content"])))
+        three = F.array(F.struct(F.lit("User").alias("who"), asked.alias("said")), F.struct(pairs.alias("who"), answered.alias("said")), F.struct(who.alias("who"), said.alias("said")))
+        return F.filter(three, lambda t: t["said"].isNotNull())
+
+    return F.flatten(F.transform(messages, turns)).cast(TURNS)
+
+
+def conversations(text: Column, parser: Column) -> Column:
+    """array<struct<title, turns>> of a chat export's JSON; null where it can't be read."""
+    trees = F.transform(F.from_json(text, TREES), lambda c: F.struct(F.coalesce(c["title"], F.lit("Untitled")).alias("title"), tree_turns(c["current_node"], c["mapping"]).alias("turns")))
+    whole = F.when(F.ltrim(text).startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    one = lambda c: F.struct(F.coalesce(_filled(c["name"], c["title"]), F.lit("Untitled")).alias("title"), list_turns(F.coalesce(c["chat_messages"], c["messages"], c["turns"], c["conversation"]), parser).alias("turns"))
+    lists = F.transform(F.from_json(whole, LISTS), one)
+    return F.when(parser == "chatgpt", trees).otherwise(lists)
+
+
+def rendered(title: Column, turns: Column) -> Column:
+    lines = F.transform(F.coalesce(turns, F.array().cast(TURNS)), lambda t: F.concat(F.lit("**"), t["who"], F.lit(":** "), t["said"]))
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n\n"), F.lit("\n"))).otherwise(""))
+
+
+def _archive_members(path: str, data: bytes) -> list[tuple[str, bytes]]:
     """Members within the limits: deeper ones are passed over, and it ends at the first beyond the number or the size."""
+    if zipfile.is_zipfile(io.BytesIO(data)):
+        z = zipfile.ZipFile(io.BytesIO(data))
+        found = ((i.filename, i.file_size, lambda i=i: z.read(i)) for i in z.infolist() if not i.is_dir())
+    else:
+        t = tarfile.open(fileobj=io.BytesIO(data))
+        found = ((m.name, m.size, lambda m=m: t.extractfile(m).read()) for m in t.getmembers() if m.isfile())
     kept, total = [], 0
-    for name, size, read in entries:
+    for name, size, read in found:
         if len(PurePosixPath(name).parts) > MOST_DEPTH:
             continue
         if len(kept) >= MOST_MEMBERS or total + size > MOST_UNPACKED:
             break
         kept.append((name, read()))
         total += size
-    return Parsed("\n".join(n for n, _ in kept), {"type": kind, "file_count": len(kept), "total_size": total}, tuple(kept))
-
-
-def parse_archive(path: str, data: bytes) -> Parsed:
-    low = path.lower()
-    try:
-        if low.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                return _unpacked(((i.filename, i.file_size, lambda i=i: z.read(i)) for i in z.infolist() if not i.is_dir()), "zip")
-        if low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                return _unpacked(((m.name, m.size, lambda m=m: t.extractfile(m).read()) for m in t.getmembers() if m.isfile()), "tar")
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError):
-        return failed("corrupt_zip_archive" if low.endswith(".zip") else "corrupt_tar_archive")
-    return failed("unknown_archive_format")
-
-
-def _from_zip(data: bytes, wanted, parse, platform: str) -> Parsed:
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for name in z.namelist():
-                if wanted(name.lower()):
-                    return parse(name, z.read(name))
-    except (zipfile.BadZipFile, EOFError) as e:
-        return failed(f"corrupt_zip: {e}", platform=platform)
-    return failed("no conversations.json in archive", platform=platform)
-
-
-def tree_messages(mapping: dict, current: str | None) -> list[dict]:
-    """Messages on the path from the root to the current node; all of them in file order where there is no such node."""
-    if current in mapping:
-        path, seen = [], set()
-        while current and current in mapping and current not in seen:
-            seen.add(current)
-            path.append(mapping[current])
-            current = mapping[current].get("parent")
-        nodes = path[::-1]
-    else:
-        nodes = list(mapping.values())
+    return kept
+
+
+def _office_text(data: bytes) -> str:
+    """Paragraphs of a document's parts in order, cells of a row side by side."""
     out = []
-    for node in nodes:
-        message = node.get("message") or {}
-        text = "\n".join(p for p in ((message.get("content") or {}).get("parts") or []) if isinstance(p, str)).strip()
-        if text:
-            out.append({"role": (message.get("author") or {}).get("role", "unknown"), "text": text, "model": (message.get("metadata") or {}).get("model_slug")})
-    return out
-
-
-def parse_chatgpt(path: str, data: bytes) -> Parsed:
-    if path.lower().endswith(".zip"):
-        return _from_zip(data, lambda n: n.endswith("conversations.json"), parse_chatgpt, "chatgpt")
-    raw = load_json(data)
-    if not isinstance(raw, list):
-        return failed("json_decode" if raw is None else "expected array at top level", platform="chatgpt")
-    conversations, texts, times, models = [], [], [], set()
-    for c in (c for c in raw if isinstance(c, dict)):
-        turns = tree_messages(c.get("mapping") or {}, c.get("current_node"))
-        times += [t for t in (c.get("create_time"), c.get("update_time")) if iso(t)]
-        used = [t["model"] for t in turns if t["model"]]
-        models |= set(used)
-        title = c.get("title", "Untitled")
-        speaker = {"user": "User", "assistant": "Assistant", "system": "System"}
-        texts.append(rendered(title, [(speaker.get(t["role"], t["role"]), t["text"]) for t in turns]))
-        conversations.append({"title": title, "created_at": iso(c.get("create_time")), "updated_at": iso(c.get("update_time")), "message_count": len(turns), "model": used[-1] if used else None})
-    return together("chatgpt", conversations, texts, [iso(min(times)), iso(max(times))] if times else [], models_used=sorted(models))
-
-
-def parse_claude(path: str, data: bytes) -> Parsed:
-    if path.lower().endswith(".zip"):
-        return _from_zip(data, lambda n: n.endswith(".json"), parse_claude, "claude")
-    raw = load_json(data)
-    if raw is None:
-        return failed("json_decode", platform="claude")
-    conversations, texts, times = [], [], []
-    for c in (c for c in (raw if isinstance(raw, list) else [raw]) if isinstance(c, dict)):
-        messages = first(c, "chat_messages", "messages", default=[])
-        said = [m for m in messages if isinstance(m, dict)]
-        label = lambda r: {"human": "User"}.get(r, r.title())
-        title = first(c, "name", "title", default="Untitled")
-        texts.append(rendered(title, [(label(first(m, "sender", "role", default="unknown")), spoken(first(m, "text", "content"))) for m in said]))
-        times += [t for t in (c.get("created_at"), c.get("updated_at")) if t]
-        attached = any(m.get("attachments") or m.get("files") for m in said)
-        conversations.append({"id": first(c, "uuid", "id"), "title": title, "created_at": c.get("created_at", ""), "updated_at": c.get("updated_at", ""), "message_count": len(messages), "has_attachments": attached})
-    return together("claude", conversations, texts, times)
-
-
-def parse_gemini(path: str, data: bytes) -> Parsed:
-    low = path.lower()
-    if low.endswith(".zip"):
-        return _from_zip(data, lambda n: n.endswith((".json", ".html")) and ("gemini" in n or "bard" in n or "activity" in n), parse_gemini, "gemini")
-    if low.endswith(".html"):
-        text = html_text(data.decode(errors="replace"))
-        return Parsed(text, {"platform": "gemini", "format": "html", "char_count": len(text), "conversation_count": 1, "total_messages": 0}) if text else failed("empty_html", platform="gemini")
-    raw = load_json(data)
-    conversations, texts, times = [], [], []
-    for c in (c for c in (raw if isinstance(raw, list) else [raw]) if isinstance(c, dict)):
-        if re.search("gemini|bard", str(c.get("header", "")), re.IGNORECASE):  # an activity entry
-            lines = [s.get("name", "") for s in c.get("subtitles") or [] if isinstance(s, dict)]
-            texts.append(rendered(c.get("title", ""), [], lines))
-            conversations.append({"title": c.get("title", ""), "created_at": c.get("time", ""), "message_count": 1, "products": c.get("products", [])})
-            times += [c["time"]] if c.get("time") else []
-            continue
-        turns = []
-        for m in (m for m in first(c, "messages", "chat_messages", "turns", default=[]) if isinstance(m, dict)):
-            asked, answered = first(m, "prompt", "query"), first(m, "response", "answer")
-            turns += [x for x in (("User", asked), ("Gemini", answered)) if x[1]]
-            if not asked and not answered and (text := spoken(first(m, "content", "text"))):
-                turns.append(("User" if first(m, "role", "sender", default="unknown").lower() in ("user", "human") else "Gemini", text))
-        title = first(c, "title", "name", default="Untitled")
-        when = [first(c, "createdTime", "create_time", "created_at"), first(c, "lastModifiedTime", "update_time", "updated_at")]
-        texts.append(rendered(title, turns))
-        conversations.append({"id": first(c, "id", "conversationId"), "title": title, "created_at": when[0], "updated_at": when[1], "message_count": len(turns)})
-        times += [t for t in when if isinstance(t, str) and t]
-    return together("gemini", conversations, texts, times) if conversations else failed("unrecognized json format", platform="gemini")
-
-
-def html_text(text: str) -> str:
-    for pattern, instead in ((r"<script[^>]*>.*?</script>", ""), (r"<style[^>]*>.*?</style>", ""), (r"<br\s*/?>", "\n"), (r"</?(?:div|p|h[1-6]|section)[^>]*>", "\n"), (r"<[^>]+>", ""), (r"\n{3,}", "\n\n")):
-        text = re.sub(pattern, instead, text, flags=re.DOTALL)
-    return text.strip()
-
-
-def parse_generic(path: str, data: bytes) -> Parsed:
-    low = path.lower()
-    platform = "copilot" if re.search("copilot|microsoft|bing", low) else "perplexity" if "perplexity" in low else "ai_generic"
-    if low.endswith(".json"):
-        return _generic_json(data, platform)
-    text = data.decode(errors="replace")
-    if low.endswith(".csv"):
-        return _sessions(text, platform)
-    if not text.strip():
-        return failed("empty_file", platform=platform)
-    asked = len(re.findall(r"\*\*Q(?:uestion)?[:\*]|\*\*User[:\*]", text, re.IGNORECASE))
-    answered = len(re.findall(r"\*\*A(?:nswer)?[:\*]|\*\*(?:AI|Assistant|Perplexity)[:\*]", text, re.IGNORECASE))
-    n = asked + answered or max(1, len(re.split(r"\n#{1,2}\s+|\n---+\n", text)))
-    links = re.findall(r"https?://\S+", text)
-    meta = {"platform": platform, "format": "markdown", "conversation_count": 1, "total_messages": n, "conversations": [{"title": text.split("\n")[0].strip("# ").strip() or "Untitled", "message_count": n}]}
-    return Parsed(text, meta | ({"citation_count": len(links), "citations": links[:50]} if links else {}))
-
-
-def _generic_json(data: bytes, platform: str) -> Parsed:
-    raw = load_json(data)
-    if raw is None:
-        return failed("json_decode", platform=platform)
-    conversations, texts = [], []
-    for c in (c for c in (raw if isinstance(raw, list) else [raw]) if isinstance(c, dict)):
-        messages = next((c[k] for k in ("messages", "chat_messages", "turns", "conversation") if isinstance(c.get(k), list)), None)
-        if messages is None:
-            messages = [c] if {"role", "content", "sender", "text"} & c.keys() else []
-        turns, cited = [], []
-        for m in (m for m in messages if isinstance(m, dict)):
-            if text := spoken(first(m, "content", "text")):
-                turns.append(("User" if first(m, "role", "sender", default="unknown").lower() in ("user", "human") else "AI", text))
-                cited += [str(x) for x in (m.get("citations") or []) + (m.get("sources") or [])]
-        if not turns:
-            continue
-        title = first(c, "title", "name", default="Untitled")
-        texts.append(rendered(title, turns, ["**Sources:**", *(f"  {i}. {x}" for i, x in enumerate(cited, 1)), ""] if cited else []))
-        conversations.append({"id": c.get("id") or "", "title": title, "created_at": first(c, "created_at", "createdAt", "timestamp"), "message_count": len(turns)} | ({"citation_count": len(cited)} if cited else {}))
-    return together(platform, conversations, texts, []) if conversations else failed("no conversations found", platform=platform)
-
-
-def _sessions(text: str, platform: str) -> Parsed:
-    rows = list(csv.DictReader(io.StringIO(text)))
-    if not rows:
-        return failed("empty_csv", platform=platform)
-    key = next((k for k in ("SessionId", "session_id", "ConversationId", "conversation_id") if k in rows[0]), None)
-    sessions: dict[str, list[tuple[str, str]]] = {}
-    for row in rows:
-        said = first(row, "Content", "content", "Message")
-        turns = sessions.setdefault(row.get(key) or "default" if key else "default", [])
-        if said:
-            turns.append(("User" if first(row, "Role", "role", "Sender", default="unknown").lower() in ("user", "human") else "AI", said))
-    held = {s: t for s, t in sessions.items() if t}
-    return together(platform, [{"id": s, "title": f"Session {s}", "message_count": len(t)} for s, t in held.items()], [rendered(f"Session: {s}", t) for s, t in held.items()], [], format="csv")
-
-
-PARSERS = {
-    "text": parse_text, "pdf": parse_pdf, "office": parse_office, "image": parse_image, "audio": parse_audio, "archive": parse_archive, "chatgpt": parse_chatgpt,
-    "claude": parse_claude, "gemini": parse_gemini, "ai_generic": parse_generic,
-}
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())]))
-    for batch in batches:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        parts = sorted((n for n in z.namelist() if n.endswith(".xml") and n.startswith(("word/document", "ppt/slides/slide", "xl/sharedStrings"))), key=lambda n: (len(n), n))
+        if not parts:
+            raise ValueError("no text parts")
+        for part in parts:
+            for node in ElementTree.fromstring(z.read(part)).iter():
+                if node.tag.rpartition("}")[2] in ("p", "si"):
+                    out.append("".join(t.text or "" for t in node.iter() if t.tag.rpartition("}")[2] == "t"))
+    return "\n\n".join(p for p in out if p.strip())
+
+
+UNPACKED = T.StructType().add("text", T.StringType()).add("metadata", T.StringType())
+UNPACKED = UNPACKED.add("members", T.ArrayType(T.StructType().add("name", T.StringType()).add("content", T.BinaryType())))
+
+
+@F.pandas_udf(UNPACKED)
+def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Text or members of a container (path, office, content); null content (no container) gives nulls."""
+    for frame in frames:
         out = []
-        for path, parser, data in zip(batch["path"].to_pylist(), batch["parser"].to_pylist(), batch["content"].to_pylist()):
+        for path, office, data in zip(frame["path"], frame["office"], frame["content"]):
+            if data is None:
+                out.append((None, None, None))
+                continue
             try:
-                out.append(PARSERS[parser](path, data or b"") if parser in PARSERS else failed("no_parser"))
+                if office:
+                    text = _office_text(data)
+                    out.append((text, json.dumps({"char_count": len(text)}), []))
+                else:
+                    members = _archive_members(path, data)
+                    out.append(("\n".join(n for n, _ in members), json.dumps({"file_count": len(members), "total_size": sum(len(d) for _, d in members)}), [{"name": n, "content": d} for n, d in members]))
             except Exception as e:  # one broken file must not end the job
-                out.append(failed(f"{type(e).__name__}: {e}"))
-        members = [[{"name": n, "content": d} for n, d in p.members] for p in out]
-        columns = [batch["path"], batch["parser"], pa.array([p.text for p in out], pa.string()), pa.array([json.dumps(p.metadata, default=str) for p in out], pa.string()), pa.array(members, kind)]
-        yield pa.RecordBatch.from_arrays(columns, ["path", "parser", "text", "metadata", "members"])
+                out.append(("", json.dumps({"error": f"corrupt: {type(e).__name__}"}), []))
+        yield pd.DataFrame(out, columns=["text", "metadata", "members"], dtype=object)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, parser, text, metadata, members) of a table (path, content) of whole files, as Spark's binary source reads them."""
-    head = F.substring("content", 1, 16)
-    routed = files.select("path", parser_of(F.col("path"), media_type(F.col("path"), head)).alias("parser"), "content")
-    return routed.mapInArrow(_parse, "path string, parser string, text string, metadata string, members array<struct<name:string,content:binary>>")
+    path, content = F.col("path"), F.coalesce("content", F.lit("").cast("binary"))
+    routed = files.select("path", parser_of(path, media_type(path, F.substring("content", 1, 16))).alias("parser"), content.alias("content"))
+    parser, chat, zipped = F.col("parser"), F.col("parser").isin(*CHATS), F.lower("path").rlike(r"\.(zip|tar|tgz|gz|bz2|xz)$")
+    boxed = parser.isin("office", "archive") | chat & zipped
+    silent = parser.isin("pdf", "image", "audio", "none")
+    held = routed.select("path", "parser", F.octet_length("content").alias("size"), boxed.alias("boxed"), silent.alias("silent"), F.when(~boxed & ~silent, markup.decoded(F.col("content"))).alias("plain"),
+                         _unpacked(F.struct("path", (parser == "office").alias("office"), F.when(boxed, F.col("content")).alias("content"))).alias("box"))
+    as_json = chat & F.lower("path").endswith(".json") & F.col("plain").isNotNull()
+    told = held.withColumn("talks", F.when(as_json, conversations(F.col("plain"), parser)))
+    page = F.when(F.lower("path").rlike(r"\.html?$") & (parser == "gemini"), markup.strip_html(F.col("plain"))).otherwise(F.col("plain"))
+    spoken = F.array_join(F.transform("talks", lambda c: rendered(c["title"], c["turns"])), BETWEEN)
+    text = F.when(F.col("boxed"), F.col("box.text")).when(as_json, F.coalesce(spoken, F.lit(""))).otherwise(F.coalesce(page, F.lit("")))
+    counts = F.aggregate("talks", F.lit(0), lambda n, c: n + F.coalesce(F.size(c["turns"]), F.lit(0)))
+    titles = F.transform("talks", lambda c: F.struct(c["title"].alias("title"), F.coalesce(F.size(c["turns"]), F.lit(0)).alias("message_count")))
+    of_chat = F.when(F.col("talks").isNull(), F.to_json(F.struct(parser.alias("platform"), F.lit("json_decode").alias("error")))).otherwise(
+        F.to_json(F.struct(parser.alias("platform"), F.size("talks").alias("conversation_count"), counts.alias("total_messages"), titles.alias("conversations")))
+    )
+    lines = F.length("plain") - F.length(F.translate("plain", "\n", "")) + 1
+    of_page = F.to_json(F.struct(F.length("plain").alias("char_count"), lines.alias("line_count")))
+    of_silent = F.to_json(F.struct(F.regexp_extract(F.lower("path"), r"\.([^./]*)$", 1).alias("format"), F.col("size").alias("file_size"), (parser == "audio").alias("needs_transcription"), (parser.isin("image", "pdf")).alias("needs_ocr")))
+    metadata = F.when(F.col("boxed"), F.col("box.metadata")).when(as_json, of_chat).when(F.col("silent"), of_silent).otherwise(of_page)
+    return told.select("path", "parser", text.alias("text"), metadata.alias("metadata"), F.coalesce("box.members", F.array().cast(MEMBERS)).alias("members"))
 
 
 def expand_members(parsed: DataFrame) -> DataFrame:
@@ -370,6 +190,15 @@ def expand_members(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode("members").alias("m")).select(F.concat("path", F.lit("!/"), "m.name").alias("path"), F.col("m.content").alias("content"))
 
 
+def read_sessions(spark, path: str) -> DataFrame:
+    """(session, at, who, said) of spreadsheets of chat rows, whatever they call their columns; rows keep their order by ``at``."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    def named(*names):
+        found = [F.col(f"`{c}`") for n in names for c in rows.columns if c.lower() == n]
+        return F.coalesce(*found, F.lit(None).cast("string")) if found else F.lit(None).cast("string")
+    return rows.select(named("sessionid", "session_id", "conversationid", "conversation_id").alias("session"), F.monotonically_increasing_id().alias("at"), named("role", "sender").alias("who"), named("content", "message").alias("said"))
+
+
 def scan_directory(spark, root: str) -> DataFrame:
     """(path, size, mtime, content) of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

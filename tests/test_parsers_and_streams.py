@@ -6,6 +6,7 @@ import tarfile
 import time
 import zipfile
 
+from corpusloom.operators.exports import sessions_of_rows
 from corpusloom.sources import parsers as P
 from corpusloom.streaming import ingest
 
@@ -18,49 +19,53 @@ def zipped(**files):
     return out.getvalue()
 
 
-def test_chatgpt_takes_the_current_branch():
-    node = lambda parent, role, text: {"parent": parent, "message": {"author": {"role": role}, "content": {"parts": [text]}, "metadata": {"model_slug": "m"}}}
+def parsed(spark, files):
+    return {r["path"]: r for r in P.parse_files(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()}
+
+
+def test_chatgpt_takes_the_current_branch(spark):
+    node = lambda parent, role, text: {"parent": parent, "message": {"author": {"role": role}, "content": {"parts": [text, {"image": 1}]}, "metadata": {"model_slug": "m"}}}
     mapping = {"r": {"parent": None}, "u": node("r", "user", "Hi"), "a": node("u", "assistant", "old"), "b": node("u", "assistant", "new")}
-    p = P.parse_chatgpt("conversations.json", json.dumps([{"title": "T", "create_time": 1700000000, "mapping": mapping, "current_node": "b"}]).encode())
-    assert p.text == "# T\n\n**User:** Hi\n\n**Assistant:** new\n" and p.metadata["total_messages"] == 2 and p.metadata["models_used"] == ["m"]
-    assert P.parse_chatgpt("x.json", b"{").metadata["error"] and P.parse_chatgpt("x.json", b"{}").metadata["error"] and P.parse_chatgpt("chatgpt.zip", b"?").metadata["error"]
-    assert P.parse_chatgpt("chatgpt.zip", zipped(**{"conversations.json": "[]"})).metadata["conversation_count"] == 0
-
-
-def test_claude_gemini_generic():
-    claude = P.parse_claude("claude.json", json.dumps([{"name": "N", "chat_messages": [{"sender": "human", "text": "Hi"}, {"role": "assistant", "content": [{"text": "a"}, "b"], "files": [1]}]}]).encode())
-    assert claude.text == "# N\n\n**User:** Hi\n\n**Assistant:** a\nb\n" and claude.metadata["conversations"][0]["has_attachments"]
-    gemini = P.parse_gemini("gemini.json", json.dumps([{"title": "G", "messages": [{"prompt": "p", "response": "r"}, {"role": "user", "content": "c"}]}, {"header": "Gemini Apps", "title": "asked", "subtitles": [{"name": "s"}]}]).encode())
-    assert gemini.metadata["total_messages"] == 4 and gemini.text.endswith("# asked\n\ns")
-    assert P.parse_gemini("gemini.html", b"<div>a</div>").text == "a" and P.parse_gemini("gemini.json", b"[1]").metadata["error"]
-    generic = P.parse_generic("perplexity.json", json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "x", "content": "a", "citations": ["u"], "sources": ["v"]}]}).encode())
-    assert generic.metadata["conversations"][0]["citation_count"] == 2
-    sheet = P.parse_generic("copilot.csv", b"SessionId,Role,Content\n1,user,a\n2,bot,b\n1,bot,c\n")
-    assert sheet.metadata["conversation_count"] == 2 and sheet.metadata["total_messages"] == 3
-    assert P.parse_generic("perplexity.md", b"# T\n**Question:** a\n**Answer:** b https://x.test").metadata["total_messages"] == 2
-
-
-def test_archives_keep_their_limits(monkeypatch):
+    tree = {"title": "T", "create_time": 1700000000, "mapping": mapping, "current_node": "b"}
+    loop = {"title": "L", "mapping": {"a": node("b", "user", "x"), "b": node("a", "tool", "y")}, "current_node": "a"}
+    got = parsed(spark, {"/a/conversations.json": json.dumps([tree, tree | {"current_node": "gone"}, loop]).encode(), "/b/conversations.json": b"{", "/c/conversations.json": b"[]", "/d/conversations.json": None,
+                         "/e/chatgpt.zip": zipped(**{"conversations.json": "[]"}), "/f/chatgpt.zip": b"?"})
+    assert got["/a/conversations.json"]["text"].startswith("# T\n\n**User:** Hi\n\n**Assistant:** new\n\n---\n\n# T\n\n**User:** Hi\n\n**Assistant:** old\n\n**Assistant:** new\n")
+    about = json.loads(got["/a/conversations.json"]["metadata"])
+    assert about["conversation_count"] == 3 and [c["message_count"] for c in about["conversations"]] == [2, 3, 2]
+    assert all("error" in got[p]["metadata"] for p in ("/b/conversations.json", "/d/conversations.json", "/f/chatgpt.zip")) and json.loads(got["/c/conversations.json"]["metadata"])["conversation_count"] == 0
+    assert [m["name"] for m in got["/e/chatgpt.zip"]["members"]] == ["conversations.json"]
+
+
+def test_claude_gemini_generic(spark, tmp_path):
+    got = parsed(spark, {
+        "/claude.json": json.dumps([{"name": "N", "chat_messages": [{"sender": "human", "text": "Hi"}, {"role": "assistant", "content": [{"text": "a"}, "b"], "files": [1]}]}]).encode(),
+        "/gemini.json": json.dumps({"title": "G", "messages": [{"prompt": "p", "response": "r"}, {"role": "user", "content": "c"}]}).encode(), "/gemini.html": b"<div>a<br/>b < c</div><STYLE>x</STYLE><i>d</i>",
+        "/perplexity.json": json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "x", "content": "a"}]}).encode(), "/perplexity.md": b"# T\n**Question:** a",
+    })
+    assert got["/claude.json"]["text"] == "# N\n\n**User:** Hi\n\n**Assistant:** a\nb\n"
+    assert got["/gemini.json"]["text"] == "# G\n\n**User:** p\n\n**Gemini:** r\n\n**User:** c\n" and got["/gemini.html"]["text"] == "a\nb < c\nd"
+    assert got["/perplexity.json"]["text"] == "# Untitled\n\n**User:** q\n\n**AI:** a\n" and got["/perplexity.md"]["text"].startswith("# T")
+    (tmp_path / "copilot.csv").write_text('SessionId,Role,Content\n1,user,"a\nb"\n2,bot,b\n1,bot,c\n,user,lost\n')
+    rows = sessions_of_rows(P.read_sessions(spark, f"file://{tmp_path}/copilot.csv"), "session", "at", "who", "said").collect()
+    assert {r["session"]: r["transcript"] for r in rows}["1"] == "# Session: 1\n\n**User:** a\nb\n\n**AI:** c\n" and len(rows) == 3
+
+
+def test_archives_keep_their_limits(spark, monkeypatch):
     data = zipped(a="1", b__c="22", b__c__d__e="3")
-    assert [n for n, _ in P.parse_archive("x.zip", data).members] == ["a", "b/c"]
+    assert [n for n, _ in P._archive_members("x.zip", data)] == ["a", "b/c"]
     monkeypatch.setattr(P, "MOST_MEMBERS", 1)
-    assert P.parse_archive("x.zip", data).metadata["file_count"] == 1
+    assert len(P._archive_members("x.zip", data)) == 1
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as t:
         info = tarfile.TarInfo("m.txt")
         info.size = 3
         t.addfile(info, io.BytesIO(b"abc"))
-    assert P.parse_archive("x.tgz", out.getvalue()).members == (("m.txt", b"abc"),)
-    assert P.parse_archive("x.zip", b"no").metadata["error"] and P.parse_archive("x.gz", b"").metadata["error"] == "unknown_archive_format"
-
-
-def test_office_and_fallbacks():
-    docx = zipped(word__document="")
-    assert "error" in P.parse_office("a.docx", docx).metadata
+    assert P._archive_members("x.tgz", out.getvalue()) == [("m.txt", b"abc")]
     body = '<w:document xmlns:w="w"><w:p><w:t>One</w:t></w:p><w:p><w:t> </w:t></w:p><w:p><w:t>Two</w:t></w:p></w:document>'
-    assert P.parse_office("a.docx", zipped(**{"word/document.xml": body})).text == "One\n\nTwo"
-    assert P.parse_pdf("a.pdf", b"\x00Hello World\x01abc\x02").text == "Hello World"
-    assert P.parse_text("a.txt", b"caf\xe9\n").metadata["line_count"] == 2
+    got = parsed(spark, {"/a.docx": zipped(**{"word/document.xml": body}), "/b.docx": zipped(x="y"), "/x.zip": b"no", "/a.txt": b"caf\xe9\n", "/p.pdf": b"%PDF", "/s.mp3": None})
+    assert got["/a.docx"]["text"] == "One\n\nTwo" and "error" in got["/b.docx"]["metadata"] and "error" in got["/x.zip"]["metadata"]
+    assert json.loads(got["/a.txt"]["metadata"])["line_count"] == 2 and got["/a.txt"]["text"] == "café\n" and json.loads(got["/s.mp3"]["metadata"])["needs_transcription"] and got["/p.pdf"]["text"] == ""
 
 
 def test_files_end_to_end(spark, tmp_path):
@@ -68,10 +73,10 @@ def test_files_end_to_end(spark, tmp_path):
     (tmp_path / "in" / "n.md").write_text("# hi")
     (tmp_path / "in" / "x.zip").write_bytes(zipped(**{"inner.txt": "inside"}))
     (tmp_path / "in" / "bad.docx").write_bytes(b"junk")
-    parsed = P.parse_files(P.scan_directory(spark, f"file://{tmp_path}/in"))
-    got = {r["path"].rsplit("/", 1)[1]: r for r in parsed.collect()}
+    parsed_ = P.parse_files(P.scan_directory(spark, f"file://{tmp_path}/in"))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in parsed_.collect()}
     assert got["n.md"]["text"] == "# hi" and "error" in got["bad.docx"]["metadata"]
-    assert [r["text"] for r in P.parse_files(P.expand_members(parsed)).collect()] == ["inside"]
+    assert [r["text"] for r in P.parse_files(P.expand_members(parsed_)).collect()] == ["inside"]
 
 
 def test_streamed_ingest_is_idempotent(spark, tmp_path):
