@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ JSON_KEY = re.compile(r"[\[{,]*\s*[{,]?\s*\"[A-Za-z_]{1,20}\"\s*:\s*\"(?:user|as
 #: A speaker at the head of a line belongs to the transcript, not to what was said.
 SPEAKER = re.compile(r"(?:^\W{0,4}(?:[\w-]{1,36}[,;\t])?|\*\*)(?:user|assistant|human|system|tool|q|a)(?:\W{0,2}:|[,;\t])\W{0,4}", re.IGNORECASE | re.MULTILINE)
 SENTENCE = re.compile(r".+?(?:[.!?…؟।]+[\"'”»)\]]*(?=\s|$)|[。！？]+[」』”]*|$)", re.DOTALL)
-WORD = re.compile(rf"[{IDEOGRAPH}]|[^\W\d_{IDEOGRAPH}]+")
+#: Words, each ideograph one, and the mark between pieces.
+WORD = re.compile(rf"[^\W\d_{IDEOGRAPH}]+|[{IDEOGRAPH}\0]")
+ASCII_WORD = re.compile(r"[a-z]+|\0")
 SEPARATORS = re.compile(r"[,;|/•·#+»›]|\s[-–—]\s")
 SENTENCE_END = re.compile(r"[.!?…:؟।。！？][\"'”»)\]}」』]*$")
 #: Share of the pages that a common pair of words is on, and of the pages of the rarer word that it is on; share of the pages that a word
@@ -76,8 +79,14 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def spoken(piece: str) -> list[str]:
-    return WORD.findall((LINK.sub(" ", piece) if "/" in piece or "www." in piece else piece).lower())
+def spoken(parts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of all pieces one after the other, and where each piece's words end."""
+    text = "\0".join(LINK.sub(" ", p) if "/" in p or "www." in p else p for p in parts).lower()
+    found = (ASCII_WORD if text.isascii() else WORD).findall(text)
+    if len(parts) == 1:
+        return found, np.array([len(found)])
+    ends = np.flatnonzero(np.fromiter(("\0" == w for w in found), bool, len(found)))
+    return [w for w in found if w != "\0"], np.append(ends - np.arange(len(ends)), len(found) - len(ends))
 
 
 @lru_cache(1 << 18)
@@ -95,34 +104,76 @@ def paired(words: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+CUT = "doc_id long, words array<long>, length array<int>, form array<int>, size array<int>, text array<long>"
+HEADS, ENDS = "aA", "_."
+
+
+def form_of(piece: str, n: int) -> int:
+    """Capital, end, separators and links of a piece of ``n`` words, as one number."""
+    links = len(LINK.findall(piece)) if "/" in piece or "www." in piece else 0
+    gaps = len(SEPARATORS.findall(LINK.sub("", piece) if links else piece))
+    apart = 0 if gaps == 0 or gaps < 3 and n >= 4 else 1 if gaps <= n / 3 else 2
+    linked = 0 if not links else 1 if n >= 8 * links else 2
+    return ((piece[0].isupper() * 2 + bool(SENTENCE_END.search(piece[-4:]))) * 3 + apart) * 3 + linked
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's words as numbers, and the length, form, visible characters and text (a hash) of its pieces."""
+    for batch in batches:
+        flat, words_to, pieces_to, length, form, size, key = [], [0], [0], [], [], [], []
+        for text in batch["text"].to_pylist():
+            parts = pieces(text)
+            if parts:
+                words, ends = spoken(parts)
+                counts = np.diff(ends, prepend=0).tolist()
+                flat.append(numbers(words))
+                length += counts
+                form += map(form_of, parts, counts)
+                size += [len(p) - p.count(" ") for p in parts]
+                key += map(xxhash.xxh3_64_intdigest, parts)
+            words_to.append(words_to[-1] + (len(flat[-1]) if parts else 0))
+            pieces_to.append(len(length))
+        word = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        listed = lambda to, values: pa.ListArray.from_arrays(pa.array(np.array(to, np.int32)), pa.array(values))
+        columns = [batch["doc_id"], listed(words_to, word.view(np.int64))] + [listed(pieces_to, np.array(x, np.int32)) for x in (length, form, size)]
+        yield pa.RecordBatch.from_arrays([*columns, listed(pieces_to, np.array(key, np.uint64).view(np.int64))], [c.split()[0] for c in CUT.split(", ")])
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists and where each list begins and the last ends."""
+    to = column.offsets.to_numpy()
+    return column.values.to_numpy()[to[0] : to[-1]], to - to[0]
+
+
+def _with(numbers_: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A number for each value in its group."""
+    return (numbers_ ^ (numbers_ >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + (group.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
+
+
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, pair, pages): on how many pages a word (a) and a pair of words (a, b) are, pieces seen before in the batch left out; the
+    """(a, b, pages): on how many pages a word (a) and a pair of words (a, b) are, pieces seen before in the batch left out; the
     number of pages in a row of nulls."""
     for batch in batches:
-        seen, firsts, seconds, words, pages = set(), [], [], [], 0
-        for text in batch["text"].to_pylist():
-            a, b, w = [], [], []
-            for ws in map(spoken, pieces(text)):
-                key = hash(tuple(ws))
-                if ws and key not in seen:
-                    seen.add(key)
-                    a += ws[:-1]
-                    b += ws[1:]
-                    w += ws
-            if w:
-                pages += 1
-                pair = np.stack([numbers(a), numbers(b)], axis=1) if a else np.zeros((0, 2), np.uint64)
-                pair = pair[np.unique((pair[:, 0] * np.uint64(31)) ^ (pair[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]]
-                firsts.append(pair[:, 0]), seconds.append(pair[:, 1]), words.append(np.unique(numbers(w)))
-        if not pages:
+        (word, _), (length, to), (key, _) = (_flat(batch[c]) for c in ("words", "length", "text"))
+        page = np.repeat(np.arange(len(to) - 1), np.diff(to))
+        new = np.zeros(len(key), bool)
+        new[np.unique(key, return_index=True)[1]] = True
+        kept, piece = np.repeat(new, length), np.repeat(np.arange(len(key)), length)
+        word, piece = word[kept].view(np.uint64), piece[kept]
+        if not len(word):
             continue
-        a, b, w = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(words)
-        key = (a * np.uint64(31)) ^ (b * np.uint64(0x9E3779B97F4A7C15))
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        word, m = np.unique(w, return_counts=True)
-        one = pa.array(np.concatenate([a[at], word, [np.uint64(0)]]).view(np.int64), mask=np.arange(len(at) + len(word) + 1) == len(at) + len(word))
-        two = pa.array(np.concatenate([b[at], np.zeros(len(word) + 1, np.uint64)]).view(np.int64), mask=np.arange(len(at) + len(word) + 1) >= len(at))
-        yield pa.RecordBatch.from_arrays([one, two, pa.array(np.concatenate([n, m, [pages]]).astype(np.int64))], ["a", "b", "pages"])
+        of = page[piece]
+        _, once = np.unique(_with(word, of), return_index=True)
+        single, times = np.unique(word[once], return_counts=True)
+        at = np.flatnonzero(piece[1:] == piece[:-1])
+        both = paired(word)[at]
+        _, once = np.unique(_with(both, of[at]), return_index=True)
+        _, first, n = np.unique(both[once], return_index=True, return_counts=True)
+        at = at[once[first]]
+        rows = len(at) + len(single) + 1
+        one = pa.array(np.concatenate([word[at], single, [np.uint64(0)]]).view(np.int64), mask=np.arange(rows) == rows - 1)
+        two = pa.array(np.concatenate([word[at + 1], np.zeros(len(single) + 1, np.uint64)]).view(np.int64), mask=np.arange(rows) >= len(at))
+        yield pa.RecordBatch.from_arrays([one, two, pa.array(np.concatenate([n, times, [len(np.unique(of))]]).astype(np.int64))], ["a", "b", "pages"])
 
 
 class Usage:
@@ -138,9 +189,9 @@ class Usage:
         return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def corpus_usage(texts: DataFrame) -> Usage:
-    """Counted over all texts (text); only what is common enough to be bounded (see PAIR, KNOWN) comes to the driver."""
-    counted = texts.select("text").mapInArrow(_usage, "a long, b long, pages long").groupBy("a", "b").agg(F.sum("pages").alias("pages"))
+def corpus_usage(cut: DataFrame) -> Usage:
+    """Counted over all pages, cut up; only what is common enough to be bounded (see PAIR, KNOWN) comes to the driver."""
+    counted = cut.select("words", "length", "text").mapInArrow(_usage, "a long, b long, pages long").groupBy("a", "b").agg(F.sum("pages").alias("pages"))
     counted = materialise(counted, "usage")
     total = counted.where("a is null").agg(F.sum("pages")).first()[0] or 0
     words = counted.where("a is not null and b is null").where(F.col("pages") >= max(KNOWN_LEAST, min(KNOWN, PAIR) * total)).select("a", "pages")
@@ -153,44 +204,50 @@ def corpus_usage(texts: DataFrame) -> Usage:
     return Usage(paired(np.stack([a, b], axis=1).ravel())[::2] if len(a) else (), number, number[pages >= EVERYWHERE * total])
 
 
-def shapes(text: str, usage: Usage) -> dict[str, int]:
-    """Visible characters of the text in each shape, written as eight signs: words, capital, end, separators, links, reading on,
-    returning words, refrain."""
-    parts = pieces(text)
-    said = [spoken(p) for p in parts]
-    length = np.array([len(ws) for ws in said])
-    flat = numbers([w for ws in said for w in ws])
+#: What the signs of a shape stand for: words, capital, end, separators, links, reading on, returning words, refrain.
+SIGNS = ["".join(x) for x in product("0123", HEADS, ENDS, "012", "012", "0123x", "012", "-r")]
+
+
+def shapes_of(batch: pa.RecordBatch, usage: "Usage") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, shape, size): the visible characters of each page of a batch in each shape, pages and shapes as numbers."""
+    (word, _), (length, to), (form, _), (size, _), (key, _) = (_flat(batch[c]) for c in ("words", "length", "form", "size", "text"))
+    word, key, length = word.view(np.uint64), key.view(np.uint64), length.astype(np.int64)
+    page = np.repeat(np.arange(len(to) - 1), np.diff(to))
     ends = np.cumsum(length)
-    total = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-    known, everywhere = total(usage.holds(usage.known, flat)), usage.holds(usage.everywhere, flat)
-    on = total(usage.holds(usage.pairs, paired(flat))) if len(flat) > 1 else np.zeros(len(flat) + 1, int)
-    times = Counter(map(tuple, said))
-    content: Counter = Counter()
-    at, distinct = 0, set()
-    for piece, ws, e in zip(parts, said, ends):
-        if piece not in distinct:
-            distinct.add(piece)
-            content.update(w for w, common in zip(ws, everywhere[e - len(ws) : e]) if not common)
-    least = max(RETURNING_LEAST, RETURNING * content.total())
-    returning = {w for w, c in content.items() if c >= least}
-    out: Counter = Counter()
-    for piece, ws, e in zip(parts, said, ends):
-        n, at = len(ws), e - len(ws)
-        own = [w for w, common in zip(ws, everywhere[at:e]) if not common]
-        back = sum(w in returning for w in own) / len(own) if own else 0.0
-        links = len(LINK.findall(piece)) if "/" in piece or "www." in piece else 0
-        gaps = len(SEPARATORS.findall(LINK.sub("", piece) if links else piece))
-        reads = "x"
-        if n >= JUDGED_FROM and known[e] - known[at] >= JUDGED * n:
-            share = (on[e - 1] - on[at]) / (n - 1)
-            reads = "0" if share < 0.1 else "1" if share < 0.25 else "2" if share < 0.4 else "3"
-        many = "0" if n == 0 else "1" if n < 4 else "2" if n < 12 else "3"
-        apart = "0" if gaps == 0 or gaps < 3 and n >= 4 else "1" if gaps <= n / 3 else "2"
-        linked = "0" if not links else "1" if n >= 8 * links else "2"
-        again = "r" if n and not links and times[tuple(ws)] >= REFRAIN else "-"
-        end = "." if SENTENCE_END.search(piece) else "_"
-        out[f"{many}{'A' if piece[0].isupper() else 'a'}{end}{apart}{linked}{reads}{'0' if back < 0.45 else '1' if back < 0.7 else '2'}{again}"] += len(piece) - piece.count(" ")
-    return dict(out)
+    starts, piece = ends - length, np.repeat(np.arange(len(length)), length)
+    of = page[piece]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, values.dtype if values.dtype == np.uint64 else np.int64), np.cumsum(values)])
+        return total[ends] - total[starts]
+
+    telling = ~Usage.holds(usage.everywhere, word)
+    on = np.zeros(len(word), bool)
+    if len(word) > 1:
+        on[:-1] = Usage.holds(usage.pairs, paired(word)) & (piece[1:] == piece[:-1])
+    share = sums(on) / np.maximum(length - 1, 1)
+    order = (np.arange(len(word)) - starts[piece]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    _, same, times = np.unique(_with(sums((word ^ (word >> np.uint64(33))) * order), page), return_inverse=True, return_counts=True)
+    new = np.zeros(len(key), bool)
+    new[np.unique(_with(key, page), return_index=True)[1]] = True
+    counted = telling & np.repeat(new, length)
+    _, which = np.unique(_with(word, of), return_inverse=True)
+    count = np.bincount(which, counted)[which]
+    least = np.maximum(RETURNING_LEAST, RETURNING * np.bincount(of, counted, len(to) - 1)) if len(word) else np.zeros(len(to) - 1)
+    back = sums(telling & (count >= least[of])) / np.maximum(sums(telling), 1)
+    judged = (length >= JUDGED_FROM) & (sums(Usage.holds(usage.known, word)) >= JUDGED * length)
+    reads = np.where(judged, np.digitize(share, (0.1, 0.25, 0.4)), 4)
+    again = (times[same] >= REFRAIN) & (length > 0) & (form % 3 == 0)
+    shape = (((np.digitize(length, (1, 4, 12)) * 36 + form) * 5 + reads) * 3 + np.digitize(back, (0.45, 0.7))) * 2 + again
+    pair, at = np.unique(page * len(SIGNS) + shape, return_inverse=True)
+    return pair // len(SIGNS), pair % len(SIGNS), np.bincount(at, size, len(pair)).astype(np.int64)
+
+
+def shapes(text: str, usage: "Usage") -> dict[str, int]:
+    """Visible characters of a text in each shape."""
+    cut = next(_cut(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], ["doc_id", "text"])])))
+    _, shape, size = shapes_of(cut, usage)
+    return {SIGNS[s]: int(n) for s, n in zip(shape, size)}
 
 
 def certain(shape: str) -> str | None:
@@ -203,19 +260,18 @@ def certain(shape: str) -> str | None:
     return "s" if again == "r" or many in "23" and reads == "3" and back == "0" else None
 
 
-def page_shapes(documents: DataFrame, usage: Usage) -> DataFrame:
-    """(doc_id, shapes): the visible characters of every page in each shape."""
-    shared = documents.sparkSession.sparkContext.broadcast(usage)
+def page_shapes(cut: DataFrame, usage: Usage) -> DataFrame:
+    """(doc_id, shapes): the visible characters of every page, cut up, in each shape."""
+    shared = cut.sparkSession.sparkContext.broadcast(usage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(SIGNS, object)
         for batch in batches:
-            docs, names, sizes = [], [], []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                found = shapes(text, shared.value)
-                docs.append(doc), names.append(list(found)), sizes.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int64()))], ["doc_id", "shape", "size"])
+            page, shape, size = shapes_of(batch, shared.value)
+            to = pa.array(np.searchsorted(page, np.arange(len(batch) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(to, pa.array(names[shape], pa.string())), pa.ListArray.from_arrays(to, pa.array(size))], ["doc_id", "shape", "size"])
 
-    arrays = documents.mapInArrow(run, "doc_id long, shape array<string>, size array<long>")
+    arrays = cut.mapInArrow(run, "doc_id long, shape array<string>, size array<long>")
     return arrays.select("doc_id", F.arrays_zip("shape", "size").alias("shapes"))
 
 
@@ -251,7 +307,8 @@ def learned_kinds(pages: DataFrame) -> dict[str, str]:
 def spam_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, share): pages dominated by few shapes that are not sentences, and the share of such matter."""
     docs = documents.where("doc_id is not null and text rlike '[^ \\\\t\\\\r\\\\n]'").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pages = materialise(page_shapes(docs, corpus_usage(docs)), "shapes")
+    cut = materialise(docs.mapInArrow(_cut, CUT), "cut")
+    pages = materialise(page_shapes(cut, corpus_usage(cut)), "shapes")
     none = [s for s, k in learned_kinds(pages).items() if k == "n"]
 
     def total(shapes):
