@@ -1,7 +1,7 @@
 """Shared scratch tables: intermediate results that must outlive executors.
 
 Every table goes below the folder that the session names in ``spark.checkpoint.dir``. Only where that
-is unset (tests, notebooks) a folder is made and the setting filled in.
+is unset on a local master (tests, notebooks) a folder is made and the setting filled in; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -42,8 +44,3 @@ def small_side(table: DataFrame, rows: int = 100_000) -> DataFrame:
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

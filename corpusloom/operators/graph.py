@@ -20,7 +20,8 @@ STOPWORDS = (
     "However Into Many More Most Much Must Only Over Said Same Should Some Such Than Through Under Very Well Were Would January February March April June July August September October "
     "November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday"
 ).split()
-CAPITALISED = r"\b[A-Z][a-zA-Z]{3,}(?:\s+[A-Z][a-zA-Z]+){0,2}\b"
+#: The runs that count as names (word boundaries are those of any script), and the sentence of a summary.
+CAPITALISED = r"(?U)\b[A-Z][a-zA-Z]{3,}(?:\s+[A-Z][a-zA-Z]+){0,2}\b"
 #: Parts of a unit of weight that modularity reckons in.
 UNIT = 1_000_000
 
@@ -31,8 +32,10 @@ def entity_id(name: Column, kind: Column) -> Column:
 
 
 def spotted_entities(text: Column, most: int = 5) -> Column:
-    """The first distinct capitalised runs of a text, apart from case, without those that begin with a stopword."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CAPITALISED), F.lit(0))
+    """The first distinct capitalised runs of a text, apart from case, without those that begin with a stopword. Blanks of any kind
+    count as spaces."""
+    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{85}\p{Z}]", " ")
+    runs = F.regexp_extract_all(blanks, F.lit(CAPITALISED), F.lit(0))
     def add(kept: Column, run: Column) -> Column:
         known = F.exists(kept, lambda k: F.lower(k) == F.lower(run)) | F.regexp_extract(run, r"^(\S+)", 1).isin(STOPWORDS)
         return F.when((F.size(kept) < most) & ~known, F.concat(kept, F.array(run))).otherwise(kept)

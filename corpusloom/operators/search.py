@@ -1,7 +1,8 @@
 """Keyword search: an inverted index as tables, conjunctive phrases, BM25, snippets.
 
-``postings`` has a row per term and document with its positions, ``lengths`` one per document. A query reads the
-postings of its own terms only (the filter reaches the scan; write postings sorted by term to skip row groups).
+``postings`` has a row per term and document with its positions, ``lengths`` one per document. Build them once with
+:class:`Index`: it is written sorted by term and extended batch by batch, and a query reads the row groups of its own terms
+only (the filter on terms reaches the scan). Terms are runs of letters and digits of any script, without case and accents.
 Null texts count as empty; empty documents count in the number of documents and the average length.
 """
 
@@ -9,13 +10,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.stem import stem
+from corpusloom.functions.workspace import path_exists
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -35,9 +38,20 @@ def plain_tokens(text: str) -> list[str]:
     return TOKEN.findall("".join(c for c in folded if not unicodedata.combining(c)).lower())
 
 
-def simple_tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits, by built-in expressions alone."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+def _unaccented() -> tuple[str, str]:
+    """The precomposed letters of two code points or fewer bytes of Latin, Greek and Cyrillic script, and what is left of each without its marks."""
+    pairs = {}
+    for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if base != c and len(base) == 1:
+            pairs[c] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+def folded_tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits without accents, by built-in expressions alone."""
+    plain = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), *_unaccented())), r"\p{M}+", "")
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
 
 
 def stemmed_tokens(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,6 +73,58 @@ def index(tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return postings, tokens.select(key, F.size("tokens").alias("dl"))
 
 
+class Index:
+    """An index on disk: ``postings`` sorted by term, ``lengths`` and ``totals`` (documents, tokens), a folder a batch.
+
+    Batches hold different documents. A search reads all batches; ``compacted`` merges them into one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", kind: str = "bigint"):
+        self.spark, self.path, self.key, self.kind = spark, path, key, kind
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if not path_exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read("postings", f"term string, {self.key} {self.kind}, tf long, positions array<int>")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self._read("lengths", f"{self.key} {self.kind}, dl int")
+
+    @property
+    def totals(self) -> DataFrame:
+        """(n, avgdl) of all documents, from one row a batch."""
+        return self._read("totals", "n long, tokens long").agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+
+    def add(self, tokens: DataFrame) -> "Index":
+        """Append the documents of a table (key, tokens)."""
+        part = uuid.uuid4().hex
+        postings, _ = index(tokens, self.key)
+        ordered = postings.select("term", self.key, "tf", "positions").repartitionByRange("term").sortWithinPartitions("term", self.key)
+        ordered.write.parquet(f"{self.path}/postings/{part}")
+        lengths = tokens.select(self.key, F.size("tokens").alias("dl"))
+        lengths.write.parquet(f"{self.path}/lengths/{part}")
+        written = self.spark.read.schema(lengths.schema).parquet(f"{self.path}/lengths/{part}")
+        written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens")).write.parquet(f"{self.path}/totals/{part}")
+        return self
+
+    def compacted(self, path: str) -> "Index":
+        """A copy with all batches as one."""
+        one = Index(self.spark, path, self.key, self.kind)
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", self.key).write.parquet(f"{path}/postings/all")
+        self.lengths.write.parquet(f"{path}/lengths/all")
+        self._read("totals", "n long, tokens long").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).write.parquet(f"{path}/totals/all")
+        return one
+
+    def search(self, phrases: list[list[str]]) -> DataFrame:
+        """(key, score), see :func:`search`."""
+        return search(self.postings, self.lengths, self.key, phrases, self.totals)
+
+
 def _shifted(positions: str, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
@@ -73,11 +139,11 @@ def phrase_hits(postings: DataFrame, key: str, phrase: list[str]) -> DataFrame:
     return found.select(key, "tf")
 
 
-def search(postings: DataFrame, lengths: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
+def search(postings: DataFrame, lengths: DataFrame, key: str, phrases: list[list[str]], totals: DataFrame | None = None) -> DataFrame:
     """(key, score): documents that hold every phrase, by BM25 as full-text engines write it: negative, the least is best."""
     if not phrases:
         return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = totals if totals is not None else lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = postings.where(F.col("term").isin(*{t for p in phrases for t in p}))
     hits = None
     for i, phrase in enumerate(phrases):

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import exports as O
+from corpusloom.operators.timestamps import normalise_timestamps
 from corpusloom.sources import markup, parsers
 from corpusloom.sources.tables import table
 from corpusloom.streaming import ingest
 
 
 def claude_transcripts(spark, d):
-    return O.flat_transcripts(table(spark, d, "claude_messages"))
+    """Conversations whose messages have positions; the rest come out of claude_transcripts_by_time."""
+    return O.flat_transcripts(O.numbered(table(spark, d, "claude_messages")))
+
+
+def claude_transcripts_by_time(spark, d):
+    """Conversations in which a message has no position, in the order of the instants that their raw times denote."""
+    rows = O.numbered(table(spark, d, "claude_messages"), yes=False)
+    return O.flat_transcripts(normalise_timestamps(rows, "created_at", "client_tz", "locale"), "utc_us")
 
 
 def gemini_transcripts(spark, d):
@@ -32,7 +40,8 @@ def gemini_statistics(spark, d):
 
 
 def session_transcripts(spark, d):
-    rows = table(spark, d, "claude_messages").where("msg_index is not null").withColumn("said", O.said(F.col("text"), F.col("content"))).withColumn("who", F.coalesce(F.nullif("sender", F.lit("")), "role", F.lit("unknown")))
+    """Sessions of message rows by their least position; rows without one come last, by text."""
+    rows = table(spark, d, "claude_messages").withColumn("said", O.said(F.col("text"), F.col("content"))).withColumn("who", F.coalesce(F.nullif("sender", F.lit("")), "role", F.lit("unknown"))).withColumn("msg_index", F.coalesce("msg_index", F.lit(2**62)))
     return O.sessions_of_rows(rows.select("conversation_uuid", "msg_index", "who", "said", "uuid").distinct(), "conversation_uuid", "msg_index", "who", "said")
 
 
@@ -84,9 +93,10 @@ _PAIRS = """g AS (SELECT DISTINCT id AS conv_id, coalesce(nullif(title, ''), 'Un
 QUERIES = {
     "claude_transcripts": (
         claude_transcripts,
-        f"""WITH m AS (SELECT DISTINCT conversation_uuid AS conv_id, coalesce(nullif(conversation_name, ''), 'Untitled') AS title, msg_index, uuid, '**' || {_WHO.format(_TITLED)} || ':** ' || {_SAID} AS line FROM claude_messages WHERE msg_index IS NOT NULL)
+        f"""WITH m AS (SELECT DISTINCT conversation_uuid AS conv_id, coalesce(nullif(conversation_name, ''), 'Untitled') AS title, msg_index, uuid, '**' || {_WHO.format(_TITLED)} || ':** ' || {_SAID} AS line FROM claude_messages ANTI JOIN (SELECT DISTINCT conversation_uuid FROM claude_messages WHERE msg_index IS NULL) USING (conversation_uuid))
         SELECT conv_id, count(*) AS messages, '# ' || max(title) || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY msg_index, uuid) || chr(10) AS transcript FROM m GROUP BY conv_id""",
     ),
+    "claude_transcripts_by_time": (claude_transcripts_by_time, None),
     "gemini_transcripts": (gemini_transcripts, f"WITH {_PAIRS} SELECT conv_id, len(lines) AS messages, '# ' || title || chr(10) || chr(10) || CASE WHEN len(lines) > 0 THEN array_to_string(lines, chr(10) || chr(10)) || chr(10) ELSE '' END AS transcript FROM g"),
     "chatgpt_statistics": (
         chatgpt_statistics,
@@ -99,7 +109,7 @@ QUERIES = {
     "gemini_statistics": (gemini_statistics, f"WITH {_PAIRS} SELECT count(*) AS conversations, CAST(sum(len(lines)) AS BIGINT) AS messages, max(len(lines)) AS longest FROM g"),
     "session_transcripts": (
         session_transcripts,
-        f"""WITH m AS (SELECT DISTINCT conversation_uuid AS session, msg_index, uuid, '**' || CASE WHEN lower(coalesce(nullif(sender, ''), role, 'unknown')) IN ('user', 'human') THEN 'User' ELSE 'AI' END || ':** ' || {_SAID} AS line FROM claude_messages WHERE msg_index IS NOT NULL AND {_SAID} <> '')
+        f"""WITH m AS (SELECT DISTINCT conversation_uuid AS session, coalesce(msg_index, 4611686018427387904) AS msg_index, uuid, '**' || CASE WHEN lower(coalesce(nullif(sender, ''), role, 'unknown')) IN ('user', 'human') THEN 'User' ELSE 'AI' END || ':** ' || {_SAID} AS line FROM claude_messages WHERE {_SAID} <> '')
         SELECT session, count(*) AS messages, '# Session: ' || session || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY msg_index, line) || chr(10) AS transcript FROM m GROUP BY session""",
     ),
     "html_pages": (html_pages, f"SELECT doc_id, {_STRIP} AS plain FROM documents WHERE text LIKE '<%'"),

@@ -21,33 +21,31 @@ def relation_upsert(spark, d):
     return O.upsert_relations(extracted(spark, d), O.upsert_entities(extracted(spark, d)))
 
 
-def ascii_text():
-    return F.regexp_replace("text", r"[^\x00-\x7F]", "_")
-
-
 def entity_extract(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(O.spotted_entities(ascii_text()), "|").alias("entities"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(O.spotted_entities(F.col("text")), "|").alias("entities"))
 
 
 def cooccurrence(spark, d):
-    found = table(spark, d, "documents").select(F.explode(O.chained(O.spotted_entities(ascii_text()))).alias("e"))
+    found = table(spark, d, "documents").select(F.explode(O.chained(O.spotted_entities(F.col("text")))).alias("e"))
     return found.groupBy("e.source", "e.target").agg(F.count("*").alias("n"), F.max("e.weight").alias("weight"))
 
 
 def neighbourhood(spark, d):
-    edges = relation_upsert(spark, d)
-    seeds = edges.select(F.col("src").alias("id")).distinct().orderBy("id").limit(3)
-    return O.neighbourhood(edges, seeds, 2)
+    """Two hops around a stated query set: every entity whose id, read as a number, is divisible by 50, against all edges."""
+    edges = materialise(relation_upsert(spark, d), "edges")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return O.neighbourhood(edges, ends.where(F.conv(F.substring("id", 5, 6), 16, 10).cast("long") % 50 == 0), 2)
 
 
-def linked(spark, d):
-    held = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"))
+def linked(spark, d, condition="true"):
+    held = table(spark, d, "chunks").where(condition).select(F.col("id").alias("chunk_id"))
     rows = extracted(spark, d).select("chunk_id", F.explode("entities").alias("e")).join(held, "chunk_id", "left_semi")
     return rows.select(O.entity_id(F.col("e.name"), F.coalesce("e.entity_type", F.lit("Concept"))).alias("id"), "chunk_id").distinct()
 
 
 def orphan_entities(spark, d):
-    return O.orphans(O.upsert_entities(extracted(spark, d)), linked(spark, d)).select("id")
+    """Entities that only chunks which nothing refers to any more are linked to."""
+    return O.orphans(O.upsert_entities(extracted(spark, d)), linked(spark, d, "ref_count > 0 and graph_extracted_at is not null")).select("id")
 
 
 def entity_links(spark, d):
@@ -83,7 +81,9 @@ _REL = f"""{_ENT}, keys AS (SELECT lower(trim(name)) AS key, min(id) AS id FROM
  FROM rr JOIN keys a ON s = a.key JOIN keys b ON t = b.key WHERE a.id <> b.id) WHERE rn = 1),
  both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge)"""
 _STOP = "(" + ", ".join(f"'{w}'" for w in O.STOPWORDS) + ")"
-_SPOT = rf"""runs AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g'), '\b[A-Z][a-zA-Z]{{3,}}(?:\s+[A-Z][a-zA-Z]+){{0,2}}\b'), lambda r: regexp_extract(r, '^(\S+)', 1) NOT IN {_STOP}) AS r FROM documents),
+# DuckDB's word boundaries are those of ASCII: other letters, digits and marks become "_", which is a word character, and other signs "~", which is none; the runs themselves are ASCII.
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{0085}\p{Zs}\p{Zl}\p{Zp}]', ' ', 'g'), '[\p{Lo}\p{Lm}\p{M}\p{Nl}\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02FF}\x{0370}-\x{1FFF}]', '_', 'g'), '[^\x00-\x7F]', '~', 'g')"
+_SPOT = rf"""runs AS (SELECT doc_id, list_filter(regexp_extract_all({_PLAIN}, '\b[A-Z][a-zA-Z]{{3,}}(?:\s+[A-Z][a-zA-Z]+){{0,2}}\b'), lambda r: regexp_extract(r, '^(\S+)', 1) NOT IN {_STOP}) AS r FROM documents),
  spot AS (SELECT doc_id, (list_filter(r, lambda x, i: list_position(list_transform(r, lambda y: lower(y)), lower(x)) = i))[1:5] AS e FROM runs)"""
 _LINK = "link AS (SELECT DISTINCT 'ent_' || substr(sha1(lower(coalesce(e.entity_type, 'Concept')) || '::' || lower(trim(e.name))), 1, 16) AS id, chunk_id FROM raw SEMI JOIN (SELECT id AS chunk_id FROM chunks) USING (chunk_id) WHERE e.name IS NOT NULL)"
 
@@ -97,10 +97,10 @@ QUERIES = {
     ),
     "neighbourhood": (
         neighbourhood,
-        f"""WITH RECURSIVE {_REL}, seeds AS (SELECT DISTINCT src AS id FROM edge ORDER BY 1 LIMIT 3), walk AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT seed, dst, hop + 1 FROM walk JOIN both_ways ON id = src WHERE hop < 2)
+        f"""WITH RECURSIVE {_REL}, seeds AS (SELECT DISTINCT src AS id FROM both_ways WHERE CAST('0x' || substr(src, 5, 6) AS BIGINT) % 50 = 0), walk AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT seed, dst, hop + 1 FROM walk JOIN both_ways ON id = src WHERE hop < 2)
         SELECT seed, id, min(hop) AS hop FROM walk WHERE seed <> id GROUP BY 1, 2""",
     ),
-    "orphan_entities": (orphan_entities, f"WITH {_ENT}, {_LINK} SELECT id FROM ent WHERE entity_type <> 'Summary' AND id NOT IN (SELECT id FROM link)"),
+    "orphan_entities": (orphan_entities, f"WITH {_ENT}, {_LINK.replace('FROM chunks', 'FROM chunks WHERE ref_count > 0 AND graph_extracted_at IS NOT NULL')} SELECT id FROM ent WHERE entity_type <> 'Summary' AND id NOT IN (SELECT id FROM link)"),
     "entity_links": (entity_links, f"WITH {_ENT}, {_LINK} SELECT id, count(*) AS chunks FROM link GROUP BY id"),
     "graph_components": (
         graph_components,

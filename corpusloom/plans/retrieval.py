@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.workspace import path_exists, scratch_path
 from corpusloom.operators import chunking, hybrid, search, vectors
 from corpusloom.sources.tables import table
 
@@ -11,37 +12,57 @@ DIGITS = 6
 K = 10
 
 
-def simple_index(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", search.simple_tokens(F.col("text")).alias("tokens"))
-    return search.index(docs, "doc_id")
+_BUILT: dict[tuple[str, str, bool], search.Index] = {}
+
+
+def index_of(spark, d, stemmed=False):
+    """The index of the documents, written when it is first asked for in an application; later queries read their terms from it."""
+    key = spark.sparkContext.applicationId, d, stemmed
+    if key not in _BUILT or not path_exists(spark, _BUILT[key].path):
+        docs = table(spark, d, "documents")
+        tokens = search.stemmed_tokens(docs, "doc_id", "text") if stemmed else docs.select("doc_id", search.folded_tokens(F.col("text")).alias("tokens"))
+        _BUILT[key] = search.Index(spark, scratch_path(spark, "index")).add(tokens)
+    return _BUILT[key]
 
 
 def _rounded(hits):
     return hits.select("doc_id", F.round("score", DIGITS).alias("score"))
 
 
+def postings_build(spark, d):
+    """The index itself: every term of every document with how often and where first it occurs."""
+    return index_of(spark, d).postings.select("term", "doc_id", "tf", (F.col("positions")[0] + 1).cast("long").alias("first"))
+
+
+def postings_extended(spark, d):
+    """An index of two batches of documents answers as one of all."""
+    docs = table(spark, d, "documents").select("doc_id", search.folded_tokens(F.col("text")).alias("tokens"))
+    both = search.Index(spark, scratch_path(spark, "index"))
+    for rest in (0, 1):
+        both.add(docs.where(F.col("doc_id") % 2 == rest))
+    return _rounded(both.search([["bridge"], ["lantern"]]))
+
+
 def bm25_and(spark, d):
-    return _rounded(search.search(*simple_index(spark, d), "doc_id", [["lantern"], ["harbour"]]))
+    return _rounded(index_of(spark, d).search([["lantern"], ["harbour"]]))
 
 
 def bm25_phrase(spark, d):
-    return _rounded(search.search(*simple_index(spark, d), "doc_id", [["gone", "missing"], ["ledger"]]))
+    return _rounded(index_of(spark, d).search([["gone", "missing"], ["ledger"]]))
 
 
 def bm25_porter(spark, d):
-    tokens = search.stemmed_tokens(table(spark, d, "documents"), "doc_id", "text")
-    return _rounded(search.search(*search.index(tokens, "doc_id"), "doc_id", search.query_phrases("missing lanterns", stemmed=True)))
+    return _rounded(index_of(spark, d, stemmed=True).search(search.query_phrases("missing lanterns", stemmed=True)))
 
 
 def snippets(spark, d):
-    docs = table(spark, d, "documents")
     phrases = search.query_phrases("missing lanterns", stemmed=True)
-    hits = search.search(*search.index(search.stemmed_tokens(docs, "doc_id", "text"), "doc_id"), "doc_id", phrases)
-    return search.with_snippets(hits.select("doc_id"), docs, "doc_id", "text", phrases)
+    hits = index_of(spark, d, stemmed=True).search(phrases)
+    return search.with_snippets(hits.select("doc_id"), table(spark, d, "documents"), "doc_id", "text", phrases)
 
 
 def term_statistics(spark, d):
-    return simple_index(spark, d)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index_of(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def query_vector(spark, d):
@@ -83,7 +104,7 @@ def intent_route(spark, d):
 def legs(spark, d):
     ranked = lambda df, by: df.withColumn("rank", F.row_number().over(_order(by, "doc_id")))
     near = _near(vectors.nearest(table(spark, d, "embeddings"), query_vector(spark, d), 50)).select(F.col("vec_id").alias("doc_id"), F.col("distance").alias("score"))
-    found = _rounded(search.search(*simple_index(spark, d), "doc_id", [["lantern"]])).orderBy("score", "doc_id").limit(50)
+    found = _rounded(index_of(spark, d).search([["lantern"]])).orderBy("score", "doc_id").limit(50)
     return ranked(near, "score"), ranked(found, "score")
 
 
@@ -114,8 +135,9 @@ def text_fingerprints(spark, d):
     return chunking.fingerprints(table(spark, d, "documents"), "doc_id", "text")
 
 
-_POST = """post AS (SELECT doc_id, t AS term, pos FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), 1) AS pos FROM documents)),
- len AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)"""
+_TOK = r"regexp_extract_all(regexp_replace(lower(strip_accents(coalesce(text, ''))), '\p{M}+', '', 'g'), '[\p{L}\p{Nd}]+')"
+_POST = f"""post AS (SELECT doc_id, t AS term, pos FROM (SELECT doc_id, unnest(k) AS t, generate_subscripts(k, 1) AS pos FROM (SELECT doc_id, {_TOK} AS k FROM documents))),
+ len AS (SELECT doc_id, len({_TOK}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)"""
 _SCORE = """dfs AS (SELECT phrase, count(*) AS df FROM hits GROUP BY phrase),
  scored AS (SELECT doc_id, count(*) AS c, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
  FROM hits JOIN dfs USING (phrase) JOIN len USING (doc_id), st GROUP BY doc_id)"""
@@ -132,6 +154,8 @@ _WORDS = "[" + ", ".join("'{}'".format(w) for w in hybrid.GLOBAL_TERMS) + "]", "
 
 QUERIES = {
     "bm25_and": (bm25_and, f"WITH {_POST}, hits AS ({_ONE.format(i=0, t='lantern')} UNION ALL {_ONE.format(i=1, t='harbour')}), {_SCORE} SELECT doc_id, round(score, 6) AS score FROM scored WHERE c = 2"),
+    "postings_build": (postings_build, f"WITH {_POST} SELECT term, doc_id, count(*) AS tf, min(pos) AS first FROM post GROUP BY term, doc_id"),
+    "postings_extended": (postings_extended, f"WITH {_POST}, hits AS ({_ONE.format(i=0, t='bridge')} UNION ALL {_ONE.format(i=1, t='lantern')}), {_SCORE} SELECT doc_id, round(score, 6) AS score FROM scored WHERE c = 2"),
     "bm25_phrase": (bm25_phrase, f"WITH {_POST}, hits AS ({_TWO.format(i=0, t='gone', u='missing')} UNION ALL {_ONE.format(i=1, t='ledger')}), {_SCORE} SELECT doc_id, round(score, 6) AS score FROM scored WHERE c = 2"),
     "bm25_porter": (bm25_porter, None),
     "snippets": (snippets, None),
