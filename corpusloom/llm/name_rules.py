@@ -10,7 +10,7 @@ from corpusloom.functions.words import fold
 #: Given names (folded) and what those who bear them are called.
 NICKNAMES = """
 aleksander: alek alex sasha sascha olek; anastasia: nastya stasia ana; andre: dede; antonio: tono toni tony; benjamin: ben benny benji
-elizabeth: betty liz lizzie beth eliza lisa bess; emeric: imre; esteban: teban; francisco: paco pancho kiko; friedrich: fritz fred freddy
+elizabeth: betty liz lizzie beth eliza lisa bess libby; emeric: imre; esteban: teban; francisco: paco pancho kiko; friedrich: fritz fred freddy
 giuseppe: beppe pino peppe; gregor: greg grischa; guillermo: memo guille; heinrich: heinz heiner; ingrid: inga; isabella: bella isa izzy
 johannes: jo hannes hans johan; jorg: jorgi; jose: pepe chepe; joseph: joe joey jo sepp; josephine: jo josie fifi; katharina: kat kathi kati katja
 lawrence: larry laurie; ludmila: mila luda lida; magdalena: lena magda leni; margaret: maggie peggy meg greta madge; michael: mick mike mickey micha
@@ -20,23 +20,44 @@ viola: vi; wilhelmina: mina willa minnie billie; william: bill will billy willy
 thomas: tom tommy; james: jim jimmy jamie; john: jack johnny; charles: charlie chuck; edward: ed eddie ned; alexander: alec xander; christopher: chris kit
 daniel: dan danny; matthew: matt; samuel: sam sammy; nicholas: nico; peter: pete; catherine: cathy kate katie; susan: sue susie; dorothy: dot dolly
 dolores: lola; frederick: freddie; gerhard: gerd; andreas: andi; manuel: manolo; ignacio: nacho; inaki: inas; marie: mimi; rainer: rai; bernard: bernie
+david: dave davey; stephen: steve; steven: steve; jennifer: jenny jenn; timothy: tim timmy; anthony: tony; andrew: andy drew; kenneth: ken kenny
+ronald: ron ronnie; donald: don donnie; gregory: greg; jeffrey: jeff; philip: phil; phillip: phil; raymond: ray; vincent: vince vinny; walter: walt wally
+leonard: len lenny; gerald: gerry jerry; jacob: jake; joshua: josh; zachary: zach zack; nathaniel: nate nathan; douglas: doug; arthur: art artie
+harold: harry hal; henry: hank harry; albert: al bertie; alfred: alf alfie; barbara: barb babs; deborah: deb debbie; rebecca: becky becca; victoria: vicky tori
+judith: judy; pamela: pam; sandra: sandy; cynthia: cindy; jessica: jess jessie; abigail: abby gail; gabriela: gabi; eleonora: nora; maximilian: max; konstantin: kostja
+wolfgang: wolfi; rudolf: rudi; ludwig: lutz; matthias: matze hias; stefan: steff; enrique: quique; eduardo: lalo edu; alejandro: ale jandro; concepcion: concha
+rosario: charo; mercedes: merche; pilar: pili; rafael: rafa; santiago: santi chago; salvatore: totò turi; francesco: cecco; domenico: mimmo; luigi: gigi
+dmitri: dima mitya; mikhail: misha; vladimir: vova volodya; yekaterina: katya; tatiana: tanya; jean: jeannot; jacques: jacquot; dominique: domi
 """
+
+
+def letters(token: str) -> str:
+    """A folded token with one spelling for transliterated vowels; in long ones a doubled vowel counts as a slip."""
+    return token.replace("ae", "a").replace("oe", "o").replace("ue", "u").replace("aa", "a") if 3 < len(token) <= 8 else token
+
+
+#: Nicknames and given names in the spelling that typed tokens are brought to.
 GIVEN_OF: dict[str, list[str]] = {}
 for _entry in re.split(r"[;\n]", NICKNAMES):
     if ":" in _entry:
         _given, _called = _entry.split(":")
         for _nick in _called.split():
-            GIVEN_OF.setdefault(_nick, []).append(_given.strip())
+            GIVEN_OF.setdefault(letters(fold(_nick)), []).append(letters(_given.strip()))
 
 #: Titles, little words and legal forms to leave out, and spellings of words that organisations are made of.
 TITLES = frozenset("dr prof mr mrs ms miss mme mlle sir frau herr sr sra dipl ing phd md jr".split())
 LITTLE = frozenset("the of for and de la le du der die das fur et y und".split())
-LEGAL = frozenset("gmbh ltd limited inc llc plc ag corp corporation sarl sa bv oy ab kg ohg co company".split())
+LEGAL = frozenset("gmbh ltd limited inc llc llp plc ag corp corporation incorporated sarl sas sa bv nv oy oyj ab asa aps kg kgaa ohg mbh ug ev co company pty spa srl kk sl slu lda ltda zrt kft doo sro".split())
 ORGANISATION_WORDS = {
     "institute": "institute inst institut instituto", "foundation": "foundation found fdn fndn stiftung fondation", "university": "university univ uni u universitat universite",
     "cooperative": "cooperative coop cooperativa", "society": "society soc", "sons": "sons", "laboratories": "laboratories labs lab laboratory", "international": "international intl int",
     "association": "association assoc assn", "college": "college coll", "department": "department dept", "academy": "academy acad", "centre": "centre center ctr",
 }
+#: Short forms of words that organisations are named by.
+SHORT_FOR = {
+    "mfg": "manufacturing", "manuf": "manufacturing", "eng": "engineering", "engg": "engineering", "mgmt": "management", "svc": "services", "svcs": "services", "tech": "technology",
+    "natl": "national", "dev": "development", "bros": "brothers", "grp": "group", "hosp": "hospital", "govt": "government", "comm": "commission", "bd": "board", "res": "research", "sys": "systems",
+}
 WORD_OF = {spelling: word for word, spellings in ORGANISATION_WORDS.items() for spelling in spellings.split()}
 KINDS = frozenset(ORGANISATION_WORDS)
 #: Kinds that say too little with a single word: what the organisation works on is missing.
@@ -73,11 +94,6 @@ def typing_errors(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most)
 
 
-def letters(token: str) -> str:
-    """A folded token with one spelling for transliterated vowels; in long ones a doubled vowel counts as a slip."""
-    return token.replace("ae", "a").replace("oe", "o").replace("ue", "u").replace("aa", "a") if 3 < len(token) <= 8 else token
-
-
 def rewrite(name: str) -> tuple[str, list[str], list[str]]:
     """(kind, tokens, weak keys) of a name.
 
@@ -110,6 +126,8 @@ def rewrite(name: str) -> tuple[str, list[str], list[str]]:
         if single:
             return "weak", [], [f"i:{single[0]}|{only}"]
         keys = [f"s:|{only}"]
+        if name.strip().isupper() and 3 <= len(only) <= 5:
+            keys.append(f"c:|{''.join(sorted(only))}")  # the initials of an organisation, perhaps
         if name.strip().islower() and len(only) > 5 and " " not in name.strip():
             keys.append(f"i:{only[0]}|{only[1:]}")
         return "weak", [], keys
@@ -131,6 +149,8 @@ def _organisation(words: list[tuple[str, bool]], acronym: re.Match | None) -> tu
             continue
         if w in WORD_OF:
             kept.append(WORD_OF[w])
+        elif w in SHORT_FOR:
+            kept.append(SHORT_FOR[w])
         elif dot and len(w) <= 5:
             short.append(w)
         else:
@@ -143,7 +163,7 @@ def _organisation(words: list[tuple[str, bool]], acronym: re.Match | None) -> tu
         kinds = " ".join(w for w in kept if w in KINDS)
         return "weak", [], [f"a:{kinds}:{''.join(sorted(acronym[1].lower()))}|{' '.join(own)}"]
     if short:
-        return "weak", [], [f"t:{short[0][:4]}:{' '.join(x for x in kept if x != w)}|{w}" for w in own]
+        return "weak", [], [f"t:{short[0][:4]}:{' '.join(x for x in kept if x != w)}|{w}" for w in own]  # as far as it is written
     if len(kept) == 1:
         return "weak", [], [f"s:|{kept[0]}"]
     kinds = [w for w in kept if w in KINDS]
@@ -162,6 +182,8 @@ def full_keys(tokens: list[str]) -> Iterator[str]:
             yield f"n:{a}|{b}"
             yield f"s:|{b}"
         return
+    if 3 <= len(tokens) <= 5:
+        yield f"c:|{''.join(sorted(t[0] for t in tokens))}"
     kinds = " ".join(t for t in tokens if t in KINDS)
     for t in own:
         rest = [x for x in own if x != t]
@@ -170,7 +192,8 @@ def full_keys(tokens: list[str]) -> Iterator[str]:
         if rest and kinds:
             yield f"a:{kinds}:{''.join(sorted(x[0] for x in rest))}|{t}"
         for s in rest:
-            yield f"t:{s[:4]}:{' '.join(x for x in tokens if x not in (s, t))}|{t}"
+            for written in (3, 4):
+                yield f"t:{s[:written]}:{' '.join(x for x in tokens if x not in (s, t))}|{t}"
 
 
 def near_forms(tokens: list[str]) -> set[str]:
@@ -191,7 +214,8 @@ def near_forms(tokens: list[str]) -> set[str]:
 def same_but_for_typing(a: list[str], b: list[str], a_seen: list[int], b_seen: list[int], established: int) -> int:
     """Typing errors between two canonical token lists, 3 if they are different names.
 
-    Tokens that both occur in ``established`` names or more are words of their own, not slips of one another.
+    Tokens that both occur in ``established`` names or more are words of their own, not slips of one another; one that occurs
+    once may be two slips away from an established one.
     """
     left = [(t, n) for t, n in zip(a, a_seen) if t not in b]
     right = [(t, n) for t, n in zip(b, b_seen) if t not in a]
@@ -203,7 +227,8 @@ def same_but_for_typing(a: list[str], b: list[str], a_seen: list[int], b_seen: l
         total = 0
         for (t, n), (u, m) in way:
             slips = typing_errors(t, u)
-            limit = 2 if min(len(t), len(u)) > 7 else 1
+            once = min(n, m) == 1 and max(n, m) >= established and min(len(t), len(u)) > 3
+            limit = 2 if once or min(len(t), len(u)) > 7 else 1
             total += 3 if slips > limit or min(n, m) >= established and (n, m) != (1, 1) else slips
         best = min(best, total)
     return min(best, 3)

@@ -68,11 +68,24 @@ def _exploded(source: str, forms):
     return explode
 
 
-def _loose(keys: Iterator[str]) -> Iterator[tuple[str, str]]:
-    for key in set(keys):
-        prefix, _, token = key.rpartition("|")
-        for v in deletions(token, 1 if len(token) > 4 else 0):
-            yield f"{prefix}|{v}", key
+def _key_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, key): the deletion forms of keys ``prefix|token``."""
+    for batch in batches:
+        forms, keys = [], []
+        for key in batch["key"].to_pylist():
+            prefix, _, token = key.rpartition("|")
+            for v in deletions(token, 1 if len(token) > 4 else 0):
+                forms.append(_hash(f"{prefix}|{v}")), keys.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.int64()), pa.array(keys, pa.string())], ["form", "key"])
+
+
+def _full_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        owners, keys = [], []
+        for owner, tokens in zip(batch["owner"].to_pylist(), batch["tokens"].to_pylist()):
+            for key in set(full_keys(tokens)):
+                owners.append(owner), keys.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(keys, pa.string())], ["owner", "key"])
 
 
 def _slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +98,7 @@ def _slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _key_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cost = [typing_errors(a.rpartition("|")[2], b.rpartition("|")[2]) if a.rpartition("|")[0] == b.rpartition("|")[0] else 3 for a, b in zip(batch["key"].to_pylist(), batch["key2"].to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch["owner"], batch["owner2"], pa.array(cost, pa.int32())], ["owner", "hub", "cost"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("key", "names", "hub")), pa.array(cost, pa.int32())], ["key", "names", "hub", "cost"])
 
 
 def link_variants(names: DataFrame) -> DataFrame:
@@ -117,16 +130,21 @@ def link_variants(names: DataFrame) -> DataFrame:
     entities = full.join(roots, "owner", "left").select("owner", F.coalesce("hub", "owner").alias("entity"), "tokens")
     members = strings.select("name", "owner").join(entities.select("owner", "entity"), "owner").select("name", "entity")
 
-    # Strings that say less: the single nearest full name under any of their keys.
+    # Strings that say less: the single nearest full name under any of their keys. Keys are counted before anything is joined, so
+    # that a surname which many bear and many ask for is one row on either side.
     weak = parsed.where("kind = 'weak'").select(F.col("name").alias("owner"), "keys")
-    asking = weak.mapInArrow(_exploded("keys", _loose), "form long, owner string, key string")
-    hubs = entities.where("owner = entity").select("owner", "tokens")
-    offered = hubs.mapInArrow(_exploded("tokens", lambda t: _loose(full_keys(t))), "form long, owner string, key string")
-    met = asking.join(offered.select("form", F.col("owner").alias("owner2"), F.col("key").alias("key2")), "form").select("owner", "key", "owner2", "key2").distinct()
-    led = met.mapInArrow(_key_errors, "owner string, hub string, cost int").where("cost < 2").groupBy("owner", "hub").agg(F.min("cost").alias("cost"))
-    nearest = led.groupBy("owner", "cost").agg(F.count("*").alias("n"), F.min("hub").alias("hub")).groupBy("owner").agg(F.min_by(F.struct("n", "hub"), "cost").alias("x"))
-    attached = nearest.where("x.n = 1").select(F.col("owner").alias("name"), F.col("x.hub").alias("entity"))
-    lone = weak.join(led.select("owner"), "owner", "left_anti").select(F.col("owner").alias("name"), F.concat(F.lit("?"), F.element_at("keys", 1)).alias("entity"))
+    asking = weak.select("owner", F.explode(F.array_distinct("keys")).alias("key"))
+    hubs = entities.where("owner = entity").select("owner", "tokens").mapInArrow(_full_keys, "owner string, key string")
+    offered = materialise(hubs.groupBy("key").agg(F.count("*").alias("names"), F.min("owner").alias("hub")), "offered")
+    asked = asking.select("key").distinct().mapInArrow(_key_forms, "form long, key string")
+    told = offered.select("key").mapInArrow(_key_forms, "form long, key string").withColumnRenamed("key", "key2")
+    met = asked.join(told, "form").select("key", "key2").distinct().join(offered.withColumnRenamed("key", "key2"), "key2")
+    led = materialise(met.select("key", "key2", "names", "hub").mapInArrow(_key_errors, "key string, names long, hub string, cost int").where("cost < 2"), "led")
+    worth = led.groupBy("key", "cost").agg(F.max("names").alias("names"), F.min("hub").alias("hub"), F.max("hub").alias("other"))
+    own = asking.join(worth, "key").groupBy("owner", "cost").agg(F.max("names").alias("names"), F.min("hub").alias("hub"), F.max("other").alias("other"))
+    nearest = own.groupBy("owner").agg(F.min_by(F.struct("names", "hub", "other"), "cost").alias("x"))
+    attached = nearest.where("x.names = 1 and x.hub = x.other").select(F.col("owner").alias("name"), F.col("x.hub").alias("entity"))
+    lone = weak.join(nearest.select("owner"), "owner", "left_anti").select(F.col("owner").alias("name"), F.concat(F.lit("?"), F.element_at("keys", 1)).alias("entity"))
     return materialise(members.unionByName(attached).unionByName(lone), "linked")
 
 

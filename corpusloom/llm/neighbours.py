@@ -4,8 +4,8 @@ A trunk, one tree fitted on a bounded sample, sends every vector to the cell it
 cells beyond the nearest cutting planes as well, taken in order from a priority queue of margins while a margin is
 smaller than the distance within which neighbours are expected. Each cell grows its own forest over its members; a
 query takes leaves from all its trees through one shared priority queue, and the leaves' vectors are ranked again by
-exact squared distance in double precision. Cells hold about ``cell`` vectors however many there are in all, so
-tasks stay alike in size; vectors are shuffled once per cell they visit, not once per tree.
+exact squared distance in double precision. Cells hold about ``cell`` vectors, up to 25 million vectors in all; beyond
+that ``SAMPLE`` has to grow, or cells do. Each cell is a task of its own; vectors are shuffled once per cell they visit, not once per tree.
 
 Rows whose vector is null, of another length, not finite or all zero are left out; an id that comes twice counts
 once (with different vectors: the least). Ids with exactly equal vectors form one class, represented by its least id:
@@ -25,7 +25,8 @@ from corpusloom.functions.workspace import materialise
 CELL, SAMPLE_PER_CELL, SAMPLE = 8192, 128, 400_000
 #: Trees of a cell's forest, vectors of a leaf, leaves a query takes, and further cells it visits at most.
 TREES, LEAF, POPS, VISITS = 4, 96, 10, 3
-KEPT_PER_LEAF, RERANKED = 8, 14
+#: Relative error that float arithmetic may leave in a distance: candidates within it of the last one kept are kept as well.
+SLACK = 1e-5
 #: Up to so many deliveries of one id are left for its cell to sort out; more are merged before anything is routed.
 FEW_TIMES = 16
 Tree = tuple[np.ndarray, np.ndarray]
@@ -117,13 +118,15 @@ def nearest(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, s
     """
     m, n = len(members), len(queries)
     rng = np.random.default_rng(seed)
-    depth = max(0, int(np.ceil(np.log2(m / LEAF))))
+    per_leaf, reranked = k + 3, 2 * k + 4
+    depth = max(0, int(np.ceil(np.log2(m / max(LEAF, 8 * k)))))
     grown = [grow(members, depth, rng) for _ in range(TREES if depth else 1)]
     taken, priority = probe([t for t, _ in grown], depth, queries, pops)
     p, leaves = taken.shape[1], 2**depth
     norms = np.einsum("ij,ij->i", members, members)
-    found = np.full((n * p, KEPT_PER_LEAF), -1, np.int32)
-    apart = np.full((n * p, KEPT_PER_LEAF), np.inf, np.float32)
+    found = np.full((n * p, per_leaf), -1, np.int32)
+    apart = np.full((n * p, per_leaf), np.inf, np.float32)
+    more: list[tuple[np.ndarray, np.ndarray]] = []  # (query, member) beyond those places: ties with the last
     flat = np.where(np.isfinite(priority), taken, -1).ravel()
     by_leaf = np.argsort(flat, kind="stable")
     starts = np.searchsorted(flat[by_leaf], np.arange(len(grown) * leaves + 1))
@@ -137,25 +140,43 @@ def nearest(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, s
             who = pairs // p
             d = norms[rows] - 2 * (queries[who] @ members[rows].T)
             d[own[who][:, None] == rows] = np.inf
-            keep = min(KEPT_PER_LEAF, len(rows))
+            keep = min(per_leaf, len(rows))
             near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
             found[pairs, :keep], apart[pairs, :keep] = rows[near], np.take_along_axis(d, near, 1)
+            edge = np.partition(apart[pairs, :keep], min(k, keep) - 1, axis=1)[:, min(k, keep) - 1]
+            tied = d <= (edge + SLACK * (np.abs(edge) + norms[rows].max()))[:, None]
+            crowded = tied.sum(1) > keep
+            if crowded.any():
+                a, b = np.nonzero(tied[crowded])
+                more.append((who[crowded][a], rows[b]))
     found, apart = found.reshape(n, -1), apart.reshape(n, -1)
     order = np.argsort(found, axis=1, kind="stable")  # a member met in several leaves counts once
     found, apart = np.take_along_axis(found, order, 1), np.take_along_axis(apart, order, 1)
     apart[:, 1:][found[:, 1:] == found[:, :-1]] = np.inf
-    keep = min(RERANKED, found.shape[1])
+    keep = min(reranked, found.shape[1])
     near = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
+    edge = np.partition(apart, min(k, keep) - 1, axis=1)[:, min(k, keep) - 1]
+    tied = (apart <= (edge + SLACK * (np.abs(np.where(np.isfinite(edge), edge, 0)) + norms.max(initial=0)))[:, None]) & np.isfinite(apart)
+    crowded = np.flatnonzero(tied.sum(1) > keep)
+    if len(crowded):
+        a, b = np.nonzero(tied[crowded])
+        more.append((crowded[a], found[crowded[a], b]))
     found, apart = np.take_along_axis(found, near, 1), np.take_along_axis(apart, near, 1)
-    exact = np.full(found.shape, np.inf)
-    for a in range(0, n, 4096):
-        part = found[a : a + 4096]
-        difference = members[part].astype(np.float64) - queries[a : a + 4096, None].astype(np.float64)
-        exact[a : a + 4096] = np.einsum("ijk,ijk->ij", difference, difference)
-    exact[~np.isfinite(apart) | (found < 0)] = np.inf
-    limit = np.sort(exact, axis=1)[:, min(k, exact.shape[1]) - 1]
-    query, slot = np.nonzero(np.isfinite(exact) & (exact <= limit[:, None]))
-    return query, found[query, slot], exact[query, slot]
+    query, slot = np.nonzero(np.isfinite(apart) & (found >= 0))
+    member = found[query, slot]
+    if more:
+        both = np.unique(np.concatenate([query * m + member, *(a.astype(np.int64) * m + b for a, b in more)]))
+        query, member = both // m, both % m
+    exact = np.empty(len(query))
+    for a in range(0, len(query), 65536):
+        difference = members[member[a : a + 65536]].astype(np.float64) - queries[query[a : a + 65536]].astype(np.float64)
+        exact[a : a + 65536] = np.einsum("ij,ij->i", difference, difference)
+    order = np.lexsort((exact, query))
+    query, member, exact = query[order], member[order], exact[order]
+    first = np.searchsorted(query, np.arange(n))
+    last = np.minimum(first + k, np.searchsorted(query, np.arange(n), "right")) - 1
+    within = exact <= exact[np.maximum(last, 0)][query] if len(query) else np.zeros(0, bool)
+    return query[within], member[within], exact[within]
 
 
 def valid_vector(embedding: Column, dim: int) -> Column:
@@ -195,7 +216,7 @@ def nearest_vectors(vectors: DataFrame, *, k: int = 5, dim: int = 64, cell: int
         members = usable.join(copies, "embedding").where("id <> representative").select("representative", "id").distinct()
         usable = classes.select("id", "embedding")
     cells = max(1, total // cell)
-    depth = int(np.ceil(np.log2(cells)))
+    depth = min(int(np.ceil(np.log2(cells))), int(np.log2(max(1, SAMPLE // SAMPLE_PER_CELL))))  # each plane rests on a fair sample
     wanted = min(SAMPLE, max(4 * cell, SAMPLE_PER_CELL * 2**depth))
     rng = np.random.default_rng(7)
     trunk, radius = None, 0.0
@@ -241,7 +262,7 @@ def nearest_vectors(vectors: DataFrame, *, k: int = 5, dim: int = 64, cell: int
 
     routed = usable.mapInArrow(route, "cell int, home boolean, id string, embedding array<float>")
     tasks = max(spark.sparkContext.defaultParallelism, 2**depth)
-    found = routed.repartition(tasks, "cell").groupBy("cell").applyInArrow(search, "id string, near array<struct<distance:double,id:string>>")
+    found = routed.repartitionById(tasks, F.col("cell")).groupBy("cell").applyInArrow(search, "id string, near array<struct<distance:double,id:string>>")
     merged = found.where(F.size("near") > 0).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     within = F.filter("near", lambda x: x["distance"] <= F.get("near", F.least(F.size("near"), F.lit(k)) - 1)["distance"])
     pairs = merged.select("id", F.explode(within).alias("near")).select("id", F.col("near.id").alias("neighbour"), "near.distance")
