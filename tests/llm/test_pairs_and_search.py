@@ -239,7 +239,7 @@ def test_walks_tolerate_altered_words():
     windows = rng.integers(1, 500, (400, 10)).astype(np.int32)
     changed = windows.copy()
     changed[np.arange(400), rng.integers(0, 10, 400)] = 500
-    walks = L.Walks(500)
+    walks = L.Walks()
     met = np.zeros(400, bool)
     for a, b in zip(walks.keys(10, windows), walks.keys(10, changed)):
         met |= a == b
