@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.workspace import scratch_path
 from corpusloom.operators import files as file_ops
 from corpusloom.operators import hybrid, search, vectors
 from corpusloom.sources import parsers
 from corpusloom.sources.tables import table
+from corpusloom.streaming import ingest
 
 
 class BoundsError(ValueError):
@@ -28,15 +30,32 @@ def bounded(name: str, value: int, low: int, high: int | None = None) -> int:
 class Session:
     def __init__(self, spark: SparkSession, vault: str, *, hybrid_enabled: bool = True):
         self.spark, self.vault, self.hybrid_enabled = spark, vault, hybrid_enabled
+        self._built: search.Index | None = None
 
     def _files(self) -> DataFrame:
         return file_ops.latest(table(self.spark, self.vault, "files"))
 
-    def ingest(self, root: str, **gate) -> DataFrame:
-        """Parsed files below a folder that pass the scope gate (see ``operators.files.allowed``)."""
-        found = parsers.scan_directory(self.spark, root)
+    def ingest(self, root: str, most: int = 100 * 1024 * 1024, **gate) -> DataFrame:
+        """Take the files below a folder that pass the size limit and the scope gate (see ``operators.files.allowed``) into the vault's
+        store, where they replace what their paths held before; (path, chunks, operation) of what changed."""
+        found = parsers.scan_directory(self.spark, root).where(file_ops.within_size(F.col("size"), most))
         gate.setdefault("roots", [root.removeprefix("file://")])
-        return parsers.parse_files(found.where(file_ops.allowed(F.col("path"), **gate)).select("path", "content"))
+        parsed = parsers.parse_files(found.where(file_ops.allowed(F.col("path"), **gate)).select("path", "content"))
+        store = f"{self.vault}/store"
+        number = (ingest.journal(self.spark, store, "string").agg(F.max("batch")).first()[0] or 0) + 1
+        ingest.ingest_batch(parsed.select(F.col("path").alias("doc_id"), "text"), number, store)
+        return ingest.journal(self.spark, store, "string").where(F.col("batch") == number).select(F.col("doc_id").alias("path"), "chunks", "operation")
+
+    def held(self) -> DataFrame:
+        """(doc_id, fingerprint, sequence) of what ingested files hold now."""
+        return ingest.subscriptions(self.spark, f"{self.vault}/store", "string")
+
+    def _index(self) -> search.Index:
+        """The index of the vault's documents, built when it is first needed."""
+        if self._built is None:
+            tokens = search.stemmed_tokens(table(self.spark, self.vault, "documents"), "doc_id", "text")
+            self._built = search.Index(self.spark, scratch_path(self.spark, "index")).add(tokens)
+        return self._built
 
     def list_files(self, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         rows = file_ops.list_files(self._files(), status)
@@ -61,8 +80,7 @@ class Session:
             near = vectors.nearest(rows, vector, limit, key="doc_id").select("doc_id", F.col("distance").alias("score"))
         if mode == "semantic":
             return near
-        tokens = search.stemmed_tokens(table(self.spark, self.vault, "documents"), "doc_id", "text")
-        found = search.search(*search.index(tokens, "doc_id"), "doc_id", search.query_phrases(q, stemmed=True)).orderBy("score", "doc_id").limit(limit)
+        found = self._index().search(search.query_phrases(q, stemmed=True)).orderBy("score", "doc_id").limit(limit)
         if mode == "keyword":
             return found
         near = found.limit(0) if near is None else near

@@ -87,9 +87,16 @@ def test_streamed_ingest_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(5, "a" * 50), (6, "c" * 50)], "doc_id long, text string").write.mode("append").parquet(src)
     ingest.ingest(stream(), vault, f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{vault}/chunks").count() == 3
-    assert spark.read.parquet(f"{vault}/file_chunks").count() == 5
-    ingest.ingest_batch(spark.createDataFrame([(5, "a" * 50), (6, "c" * 50)], "doc_id long, text string"), 1, vault)
+    assert ingest.subscriptions(spark, vault).count() == 5
+    again = lambda rows, n: ingest.ingest_batch(spark.createDataFrame(rows, "doc_id long, text string"), n, vault)
+    again([(5, "a" * 50), (6, "c" * 50)], 1)
     assert spark.read.parquet(f"{vault}/chunks").count() == 3
+    again([(5, "d" * 50), (6, None), (1, "a" * 50), (77, None), (None, "x")], 2)  # one changed, one deleted, one as it was, one never known
+    assert {(r["doc_id"], r["operation"]) for r in ingest.journal(spark, vault).where("batch = 2").collect()} == {(5, "UPSERT"), (6, "DELETE")}
+    assert {r["doc_id"] for r in ingest.subscriptions(spark, vault).collect()} == {1, 2, 3, 5}
+    assert ingest.committed(spark, vault, "chunks", "fingerprint string").count() == 4
+    again([(6, "c" * 50)], 3)
+    assert ingest.subscriptions(spark, vault).where("doc_id = 6").count() == 1 and ingest.committed(spark, vault, "chunks", "fingerprint string").count() == 4
 
 
 def test_windows_and_debounce_in_a_stream(spark, sf_dir, tmp_path):
