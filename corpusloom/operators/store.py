@@ -89,3 +89,38 @@ def copies(rows: DataFrame, key: str, text: str) -> DataFrame:
     hashed = rows.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("_h"))
     groups = hashed.groupBy("_h").agg(F.min(key).alias("class_id"), F.count("*").alias("copies"))
     return hashed.join(groups, "_h").select(key, "class_id", "copies")
+
+
+def fresh_by_batch(arriving: DataFrame, history: DataFrame, batch: str, key: str) -> DataFrame:
+    """(batch, arrived, fresh): the different keys that arrive in each batch, and how many of them are in it first and not in the history."""
+    each = arriving.groupBy(key, batch).agg(F.lit(1).alias("_one"))
+    first = each.groupBy(key).agg(F.min(batch).alias("_first")).join(history.select(key).distinct().withColumn("_old", F.lit(True)), key, "left")
+    marked = each.join(first, key).withColumn("_fresh", (F.col(batch) == F.col("_first")) & F.col("_old").isNull())
+    return marked.groupBy(batch).agg(F.count("*").alias("arrived"), F.count_if("_fresh").alias("fresh"))
+
+
+def last_delivery(rows: DataFrame, key: str, batch: str) -> DataFrame:
+    """The rows of each key's last batch."""
+    last = rows.groupBy(key).agg(F.max(batch).alias(batch))
+    return rows.join(last, [key, batch], "left_semi")
+
+
+def purged(gone: DataFrame, subscribed: DataFrame, vectors: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
+    """(file_id, subscriptions, vectors, chunks, links) that go with each purged file (file_id); a chunk goes if no file that stays holds it.
+
+    ``vectors``: (file_id, id); ``chunks``: (chunk_id, id); ``links``: (id) of chunks in the entity graph, one row a link.
+    """
+    mine = subscribed.join(gone, "file_id", "left_semi")
+    kept = subscribed.join(gone, "file_id", "left_anti").select("chunk_id").distinct()
+    lost = mine.join(kept, "chunk_id", "left_anti").join(chunks, "chunk_id").select("file_id", "id")
+    of_graph = lost.join(links.groupBy("id").agg(F.count("*").alias("n")), "id").groupBy("file_id").agg(F.sum("n").alias("links"))
+    out = gone.distinct()
+    for rows, name in ((mine, "subscriptions"), (vectors.join(gone, "file_id", "left_semi"), "vectors"), (lost, "chunks")):
+        out = out.join(rows.groupBy("file_id").agg(F.count("*").alias(name)), "file_id", "left")
+    out = out.join(of_graph, "file_id", "left")
+    return out.select("file_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("subscriptions", "vectors", "chunks", "links")))
+
+
+def pending(chunks: DataFrame, done: str, order: str) -> DataFrame:
+    """Chunks on which a step (its time in ``done``) is still due, the oldest first."""
+    return chunks.where(F.col(done).isNull()).sort(order)

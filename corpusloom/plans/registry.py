@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.operators.timestamps import p4_found
-from corpusloom.plans import exports, files, graph, retrieval, store
+from corpusloom.plans import exports, files, graph, retrieval, store, vault
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**files.QUERIES, **store.QUERIES, **retrieval.QUERIES, **graph.QUERIES, **exports.QUERIES, "p4_found": (p4_found, None)}
+ALL = {**files.QUERIES, **store.QUERIES, **retrieval.QUERIES, **graph.QUERIES, **exports.QUERIES, **vault.QUERIES, "p4_found": (p4_found, None)}
 
 
 def core_queries() -> dict[str, Query]:
