@@ -92,29 +92,37 @@ class Walks:
 
     def keys(self, size: int, windows: np.ndarray) -> Iterator[np.ndarray]:
         """A bucket key of every window (rows of word numbers) for each repetition of this window size."""
-        padded = np.concatenate([windows, np.zeros((len(windows), 1), windows.dtype)], axis=1).astype(np.uint64)
-        rows = np.arange(len(windows))
+        return self.keys_at(size, windows.astype(np.uint64).ravel(), np.arange(len(windows)) * size)
+
+    def keys_at(self, size: int, text: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The same for the windows that begin at some places of a text."""
+        words_, end = np.append(text, np.uint64(0)), at + size
+        none = len(text)
         for own, sampled, bits, salt in self.parts:
             if own != size:
                 continue
-            moves = _mixed(padded + bits)  # the bit of each step says whether the pointer moves on from a word
-            pointer, key = np.zeros(len(windows), np.int64), np.full(len(windows), salt)
+            moves = _mixed(words_ + bits)  # the bit of each step says whether the pointer moves on from a word
+            place, key = at.copy(), np.full(len(at), salt)
             for step in range(max(sampled) + 1):
+                inside = np.where(place < end, place, none)
                 if step in sampled:
-                    key = _mixed(key ^ (padded[rows, pointer] + np.uint64(1)) * sampled[step])
-                pointer = np.minimum(pointer + (moves[rows, pointer] >> np.uint64(step) & np.uint64(1)).astype(np.int64), size)
+                    key = _mixed(key ^ (words_[inside] + np.uint64(1)) * sampled[step])
+                place += (moves[inside] >> np.uint64(step) & np.uint64(1)).astype(np.int64)
+                np.minimum(place, end, out=place)
             yield key
 
 
-def document_keys(text: np.ndarray, longest: int, walks: Walks) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def document_keys(text: np.ndarray, seeds: frozenset[int], walks: Walks) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(places, keys, whether of windows) of a text in which words that no item has are 0."""
     known = np.concatenate([[0], np.cumsum(text > 0)])
     for size, *_ in SCHEMES:
         at = np.flatnonzero(known[size:] - known[:-size] >= size - STRANGERS[size]) if len(text) >= size else np.zeros(0, np.int64)
         if len(at):
-            for key in walks.keys(size, text[at[:, None] + np.arange(size)]):
+            for key in walks.keys_at(size, text, at):
                 yield at, key, True
-    for length, key in run_keys(text, longest):
+    for length, key in run_keys(text, max(seeds, default=0)):
+        if length not in seeds:
+            continue
         at = np.flatnonzero(known[length:] - known[:-length] == length)
         if len(at):
             yield at, key[at], False
@@ -127,7 +135,7 @@ def item_keys(item: np.ndarray, walks: Walks) -> Iterator[tuple[np.ndarray, np.n
         for size, *_ in SCHEMES:
             if n >= size:
                 at = np.arange(n - size + 1)
-                for key in walks.keys(size, item[at[:, None] + np.arange(size)]):
+                for key in walks.keys_at(size, item, at):
                     yield at, key, True
     longest = needed(n)[1] if n >= IN_PART else n
     for length, key in run_keys(item, longest):
@@ -146,7 +154,7 @@ class Items:
         for k, text in enumerate(texts):
             for places, key, of_window in item_keys(text, self.walks) if len(text) else ():
                 keys.append(key), item.append(np.full(len(key), k, np.int32)), at.append(places), window.append(np.full(len(key), of_window))
-        self.longest = max((needed(len(t))[1] if len(t) >= IN_PART else len(t) for t in texts), default=0)
+        self.seeds = frozenset(needed(len(t))[1] if len(t) >= IN_PART else len(t) for t in texts)
         joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (item, np.int32), (at, np.int64), (window, bool))]
         order = np.argsort(joined[0], kind="stable")
         self.keys, self.item, self.at, self.window = (x[order] for x in joined)
@@ -154,11 +162,13 @@ class Items:
     def candidates(self, text: np.ndarray) -> dict[int, tuple[int, int] | None]:
         """Items that meet the text in some key, with where windows that meet say it begins (first, last)."""
         out: dict[int, tuple[int, int] | None] = {}
-        for places, key, of_window in document_keys(text, self.longest, self.walks):
-            lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            n = hi - lo
-            if not n.any():
+        for places, key, of_window in document_keys(text, self.seeds, self.walks) if len(self.keys) else ():
+            lo = np.searchsorted(self.keys, key, "left")
+            met = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == key)
+            if not len(met):
                 continue
+            places, lo = places[met], lo[met]
+            n = np.searchsorted(self.keys, key[met], "right") - lo
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             begins = np.repeat(places, n) - self.at[entry]
             for k, start, window in zip(self.item[entry].tolist(), begins.tolist(), self.window[entry].tolist()):
@@ -305,15 +315,16 @@ def _by_join(docs: DataFrame, known: DataFrame) -> DataFrame:
     words_of_bits = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     filter_ = np.zeros(FILTER_BITS // 64, np.uint64)
     filter_[words_of_bits["w"].to_numpy()] = words_of_bits["m"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, filter_, rows.agg(F.max("seed")).first()[0] or 0))
+    seeds = frozenset(r[0] for r in rows.select("seed").distinct().collect())  # a few lengths
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, filter_, seeds))
 
     def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, filter_, longest = shared.value
+        vocabulary, filter_, seeds = shared.value
         walks = Walks()
         for batch in batches:
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for places, key, of_window in document_keys(_known_only(encoded(text), vocabulary), longest, walks):
+                for places, key, of_window in document_keys(_known_only(encoded(text), vocabulary), seeds, walks):
                     bit = np.mod(key.view(np.int64), FILTER_BITS).astype(np.uint64)
                     maybe = (filter_[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
                     for column, values in zip(out, (key[maybe].view(np.int64), np.full(maybe.sum(), doc), places[maybe], np.full(maybe.sum(), int(of_window)))):
