@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.workspace import materialise
+
 #: Queries of a block; it bounds what is broadcast at a time.
 BLOCK = 4096
 
@@ -42,8 +44,9 @@ def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, dim: int, key:
     asked = storable(queries, embedding, dim).select(F.col(key).cast("long").alias("query_id"), F.col(embedding).alias("v")).orderBy("query_id")
     n = asked.count()
     parts = None
-    numbered = asked.withColumn("_b", F.floor((F.row_number().over(_by("query_id")) - 1) / BLOCK)) if n > BLOCK else asked.withColumn("_b", F.lit(0))
-    for b in range(max(1, -(-n // BLOCK))):
+    blocks = 1 if n <= BLOCK else -(-3 * n // (2 * BLOCK))  # by hash, so two thirds full on average
+    numbered = materialise(asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries") if blocks > 1 else asked.withColumn("_b", F.lit(0))
+    for b in range(blocks):
         block = numbered.where(F.col("_b") == b).select("query_id", "v").toArrow()
         ids, q = block["query_id"].to_numpy(), np.array(block["v"].to_pylist(), np.float64).reshape(-1, dim)
         shared = spark.sparkContext.broadcast((ids, q))
@@ -69,12 +72,6 @@ def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, dim: int, key:
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "distance", "rank")
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The vectors that are left after those of some chunks or files are deleted."""
     return rows.join(gone.select(key).distinct(), key, "left_anti")
