@@ -41,7 +41,7 @@ def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, dim: int, key:
     """
     spark = rows.sparkSession
     usable = storable(rows, embedding, dim).select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v"))
-    asked = storable(queries, embedding, dim).select(F.col(key).cast("long").alias("query_id"), F.col(embedding).alias("v")).orderBy("query_id")
+    asked = storable(queries, embedding, dim).select(F.col(key).cast("long").alias("query_id"), F.col(embedding).alias("v"))
     n = asked.count()
     parts = None
     blocks = 1 if n <= BLOCK else -(-3 * n // (2 * BLOCK))  # by hash, so two thirds full on average

@@ -78,3 +78,11 @@ def test_nearest(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in np.argsort(d, kind="stable") if i != q][:5]
     assert vectors.nearest(df, rows[7][1], 1).first()["vec_id"] == 7
     assert vectors.nearest_of_each(df.limit(0), df, 5, 8).count() == 0
+
+
+def test_queries_in_blocks_by_hash(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in vectors.nearest_of_each(rows, rows, 3, 8).collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 60)
+    assert {tuple(r) for r in vectors.nearest_of_each(rows, rows, 3, 8).collect()} == whole and len(whole) == 600
