@@ -27,7 +27,7 @@ harold: harry hal; henry: hank harry; albert: al bertie; alfred: alf alfie; barb
 judith: judy; pamela: pam; sandra: sandy; cynthia: cindy; jessica: jess jessie; abigail: abby gail; gabriela: gabi; eleonora: nora; maximilian: max; konstantin: kostja
 wolfgang: wolfi; rudolf: rudi; ludwig: lutz; matthias: matze hias; stefan: steff; enrique: quique; eduardo: lalo edu; alejandro: ale jandro; concepcion: concha
 rosario: charo; mercedes: merche; pilar: pili; rafael: rafa; santiago: santi chago; salvatore: totò turi; francesco: cecco; domenico: mimmo; luigi: gigi
-dmitri: dima mitya; mikhail: misha; vladimir: vova volodya; yekaterina: katya; tatiana: tanya; jean: jeannot; jacques: jacquot; dominique: domi
+charlotte: lottie lotte charlie; dmitri: dima mitya; mikhail: misha; vladimir: vova volodya; yekaterina: katya; tatiana: tanya; jean: jeannot; jacques: jacquot; dominique: domi
 """
 
 
@@ -62,6 +62,8 @@ WORD_OF = {spelling: word for word, spellings in ORGANISATION_WORDS.items() for
 KINDS = frozenset(ORGANISATION_WORDS)
 #: Kinds that say too little with a single word: what the organisation works on is missing.
 PARTIAL = frozenset(("sons", "institute", "foundation", "laboratories"))
+#: A word so many times as rare as another may be its slip, however often it occurs, and so many times one two slips away.
+RARER, RAREST = 10, 50
 QUOTED = re.compile(r"[\"“”„«»‘'(][^\"“”„«»()']*[\"“”»’')]")
 DOTTED_FORM = re.compile(r"\b(?:[a-z]\.){2,}[a-z]?\b\.?")
 BRACKETED = re.compile(r"\(([A-Z]{2,5})\)")
@@ -214,9 +216,9 @@ def near_forms(tokens: list[str]) -> set[str]:
 def same_but_for_typing(a: list[str], b: list[str], a_seen: list[int], b_seen: list[int], established: int) -> int:
     """Typing errors between two canonical token lists, 3 if they are different names.
 
-    Tokens that both occur in ``established`` names or more are words of their own, not slips of one another; one that occurs
-    once may be two slips away from an established one. In names of three tokens and more (organisations), one ten times as rare as
-    the other may be its slip however often it occurs.
+    Tokens that both occur in ``established`` names or more are words of their own, not slips of one another, unless one is ``RARER``
+    times as rare as the other: in a larger corpus every slip of a common word recurs. One that occurs once, or is ``RAREST`` times as
+    rare, may be two slips away from an established one.
     """
     left = [(t, n) for t, n in zip(a, a_seen) if t not in b]
     right = [(t, n) for t, n in zip(b, b_seen) if t not in a]
@@ -228,9 +230,9 @@ def same_but_for_typing(a: list[str], b: list[str], a_seen: list[int], b_seen: l
         total = 0
         for (t, n), (u, m) in way:
             slips = typing_errors(t, u)
-            once = min(n, m) == 1 and max(n, m) >= established and min(len(t), len(u)) > 3
-            limit = 2 if once or min(len(t), len(u)) > 7 else 1
-            own = min(n, m) >= established and (len(a) < 3 or max(n, m) < 10 * min(n, m))
+            rare = max(n, m) >= (established if min(n, m) == 1 else RAREST * min(n, m)) and min(len(t), len(u)) > 3
+            limit = 2 if rare or min(len(t), len(u)) > 7 else 1
+            own = min(n, m) >= established and max(n, m) < RARER * min(n, m)
             total += 3 if slips > limit or own else slips
         best = min(best, total)
     return min(best, 3)

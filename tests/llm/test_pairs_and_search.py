@@ -207,6 +207,19 @@ def test_name_variants(spark):
     assert V.variant_pairs(V.mentions(names_table(spark, []).limit(0))).count() == 0
 
 
+def test_slips_of_given_names_that_recur(spark):
+    rng = random.Random(5)
+    surnames = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(6)).capitalize() for _ in range(60)]
+    rows = [(f"{g} {s}", 9, 9, 0) for s in surnames for g in ("Joseph", "Johannes")] + [(f"Joseh {s}", 1, 1, 0) for s in surnames[:5]] + [(f"J. {s}", 1, 1, 0) for s in surnames[:5]]
+    rows += [(f"Lottie {surnames[0]}", 1, 1, 0), (f"Charlotte {surnames[0]}", 1, 1, 0)]
+    got = {r["name"]: r["entity"] for r in V.link_variants(spark.createDataFrame(rows, "name string, mentions long, named long, concept long")).collect()}
+    assert all(got[f"Joseh {s}"] == got[f"Joseph {s}"] != got[f"Johannes {s}"] for s in surnames[:5])
+    assert got[f"Lottie {surnames[0]}"] == got[f"Charlotte {surnames[0]}"]
+    same = R.same_but_for_typing
+    assert same(["joseh", "x"], ["joseph", "x"], [40, 1], [900, 1], 3) == 1 and same(["maria", "x"], ["marie", "x"], [300, 1], [900, 1], 3) == 3
+    assert same(["jsoeh", "x"], ["joseph", "x"], [3, 1], [900, 1], 3) == 2 and same(["jsoeh", "x"], ["joseph", "x"], [100, 1], [900, 1], 3) == 3
+
+
 @pytest.fixture(scope="module")
 def items():
     rng = random.Random(7)
