@@ -67,8 +67,7 @@ def query_entities(spark, d):
 def graph_context(spark, d):
     """How many entities lie within two hops of those that each document names, by distance."""
     edges = materialise(graph.relation_upsert(spark, d), "edges")
-    found = context.around(materialise(queries_with_entities(spark, d), "named"), "doc_id", edges, 2)
-    return found.groupBy("doc_id", "hop").agg(F.count("*").alias("entities"))
+    return context.counts_around(materialise(queries_with_entities(spark, d), "named"), "doc_id", edges, 2)
 
 
 def entity_counts(spark, d):

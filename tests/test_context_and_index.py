@@ -37,6 +37,32 @@ def test_entities_named_and_what_lies_around(spark):
     assert {tuple(r) for r in context.around(named, "doc_id", edges, 2).where("doc_id = 4").collect()} == {(4, "x", 1), (4, "y", 2), (4, "e1", 2)}
 
 
+def test_only_runs_that_may_be_names_are_joined(spark):
+    entities = spark.createDataFrame([("e1", "w1 w2 w3"), ("e2", "w7"), ("e3", "w9 w1")], "id string, name string")
+    texts = spark.createDataFrame([(d, " ".join(f"w{(d * 13 + i) % 50}" for i in range(40))) for d in range(300)] + [(900, "w1 w2"), (901, "w3"), (902, "x w9 W1 w2 w3 w7")], "doc_id long, text string")
+    named = context.named_in(texts, "doc_id", "text", entities)
+    held = {(d, e) for d, t in texts.collect() for e, n in entities.collect() if f" {n} " in f" {t.lower()} "}
+    assert {tuple(r) for r in named.collect()} == held and {(902, e) for e in ("e1", "e2", "e3")} <= held
+    assert "MapInArrow" in named._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_counted_without_being_listed(spark, monkeypatch):
+    ids = [f"e{i}" for i in range(60)]
+    edges = spark.createDataFrame([(ids[i], ids[(i * 7 + k) % 60], 1.0) for i in range(50) for k in (1, 2)], "src string, dst string, weight double").where("src <> dst")
+    named = spark.createDataFrame([(d, ids[(d * 11 + k) % 60]) for d in range(200) for k in range(d % 4)] + [(500, "alone")], "doc_id long, id string")
+    for hops in (1, 2, 3):
+        expected = {tuple(r) for r in context.around(named, "doc_id", edges, hops).groupBy("doc_id", "hop").count().collect()}
+        for held in (context.HELD, 30):
+            assert {tuple(r) for r in context.counts_around(named, "doc_id", edges, hops, held).collect()} == expected
+    assert context.counts_around(named, "doc_id", edges.limit(0)).count() == 0 and context.counts_around(named.limit(0), "doc_id", edges).count() == 0
+    wide = spark.createDataFrame([(0, f"h{i}") for i in range(300)], "doc_id long, id string").select("id")
+    wide = wide.crossJoin(wide.withColumnRenamed("id", "dst")).select(F.col("id").alias("src"), "dst").where("src < dst")
+    largest, write = [], context.materialise
+    monkeypatch.setattr(context, "materialise", lambda df, name="step": largest.append((name, (out := write(df, name)).count())) or out)
+    asked = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("h1").alias("id"))
+    assert {tuple(r)[1:] for r in context.counts_around(asked, "doc_id", wide).collect()} == {(1, 299)} and max(n for _, n in largest) < 100_000
+
+
 def test_hits_keep_their_chunks_without_files(spark):
     hits = spark.createDataFrame([("c1", 1.0), ("c2", 2.0)], "chunk_id string, score double")
     held = spark.createDataFrame([("f1", "c1", 0), ("f2", "c1", 4)], "file_id string, chunk_id string, sequence int")
