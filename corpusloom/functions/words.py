@@ -19,6 +19,8 @@ ASCII_WORD = re.compile(r"[a-z0-9]+")
 SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i"}
 DROPPED = {c: None for c in range(0x300, 0x110000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cf"} | {0xAD: None}
 FOLDED = str.maketrans(SPECIAL) | DROPPED
+#: All that FOLDED may change.
+OTHER = re.compile(r"[^\x00-\x7f]+")
 
 
 def _percent(m: re.Match) -> str:
@@ -48,7 +50,7 @@ def fold(text: str) -> str:
     """Lower case without accents and invisible characters, compatibility forms unified."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKD", text.casefold()).translate(FOLDED)
+    return OTHER.sub(lambda m: m[0].translate(FOLDED), unicodedata.normalize("NFKD", text.casefold()))
 
 
 def words(text: str | None) -> list[str]:

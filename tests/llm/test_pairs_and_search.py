@@ -175,6 +175,26 @@ def test_a_small_batch_reads_its_own_cells_only(spark):
     assert [tuple(r) for r in cells.accept(spark.createDataFrame([(9001, rows[5][1] + " more")], "rowid long, text string")).collect()] == [(6, 9001)]
 
 
+def test_few_unrelated_texts_are_reranked(spark):
+    rng = random.Random(7)
+    frames = [[f"f{rng.randrange(300)}" for _ in range(7)] for _ in range(40)]
+    text = lambda: " ".join(" ".join(rng.choice(frames) + [f"n{rng.randrange(600)}" for _ in range(5)]) for _ in range(7))
+    rows = [(i, text()) for i in range(1, 4001)]
+    rows += [(4000 + i, rows[i][1] + " one more") for i in range(5)]
+    cells, pairs = H.VectorCells(spark).load(spark.createDataFrame(rows[:3000], "rowid long, text string")), []
+    rerank = cells._rerank
+    cells._rerank = lambda candidates, *rest: pairs.append(candidates.count()) or rerank(candidates, *rest)
+    got = cells.accept(spark.createDataFrame(rows[3000:], "rowid long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(i + 1, 4000 + i) for i in range(5)] and sum(pairs) <= 30  # 193 by sketches of 128 bits
+
+
+def test_coordinates_of_many_texts_are_those_of_each():
+    texts = ["a a b a", None, "", "Ça va? ça VA, ça", "b", " - ", "<b>one</b> two two"]
+    flat, sizes = H.coordinates_of(texts)
+    assert sizes.tolist() == [len(H.coordinates(t)) for t in texts] == [4, 0, 0, 5, 1, 0, 3]
+    assert flat.tolist() == [c for t in texts for c in H.coordinates(t).tolist()]
+
+
 def test_name_rules():
     assert R.typing_errors("abcd", "abdc") == 1 and R.typing_errors("abcd", "axxd") == 2 and R.typing_errors("abcd", "wxyz") == 3
     full = lambda n: R.rewrite(n)[1]
