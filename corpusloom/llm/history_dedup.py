@@ -11,7 +11,7 @@ fitted once on the first corpus: neither in most texts nor in almost none.
 A batch reads the members of its own cells only, not the history. Cells list members in order of acceptance, and a query
 reads on in a cell until no nearer match is possible: by rank (only the earliest match is wanted, so it stops where
 members are later than the best match so far), by size (a vector shorter than three quarters of the other is too far
-away) and by distance (members carry a 192-bit sketch, the parity of their coordinates by bit; sketches never differ
+away) and by distance (members carry a 256-bit sketch, the parity of their coordinates by bit; sketches never differ
 in more bits than the L1 distance). The first members that no bound rules out are reranked exactly by their full vectors,
 and what a match repeats itself is looked at as well. Then the batch's vectors are appended; stored texts are never read again.
 
@@ -60,8 +60,8 @@ VERY_FEW = 32
 WAITING = 7
 VECTOR = "rowid long, bag binary, size int, coords array<int>"
 #: Words of 64 bits of a sketch.
-SKETCH = ("low", "middle", "high")
-MEMBER = "cell long, rowid long, size int, low long, middle long, high long"
+SKETCH = ("first", "second", "third", "fourth")
+MEMBER = f"cell long, rowid long, size int, {', '.join(f'{word} long' for word in SKETCH)}"
 NEVER = -(1 << 62)
 SHIFTED = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
