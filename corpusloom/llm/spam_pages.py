@@ -43,12 +43,13 @@ ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 JSON_KEY = re.compile(r"[\[{,]*\s*[{,]?\s*\"[A-Za-z_]{1,20}\"\s*:\s*\"(?:user|assistant|system|human|tool)?")
 #: A speaker at the head of a line belongs to the transcript, not to what was said.
 SPEAKER = re.compile(r"(?:^\W{0,4}(?:[\w-]{1,36}[,;\t])?|\*\*)(?:user|assistant|human|system|tool|q|a)(?:\W{0,2}:|[,;\t])\W{0,4}", re.IGNORECASE | re.MULTILINE)
-SENTENCE = re.compile(r".+?(?:[.!?…؟।]+[\"'”»)\]]*(?=\s|$)|[。！？]+[」』”]*|$)", re.DOTALL)
-#: Words, each ideograph one, and the mark between pieces.
-WORD = re.compile(rf"[^\W\d_{IDEOGRAPH}]+|[{IDEOGRAPH}\0]")
-ASCII_WORD = re.compile(r"[a-z]+|\0")
+LINE_OF_SPEAKER = re.compile(r"\n(?=\W{0,4}(?:[\w-]{1,36}[,;\t])?(?:user|assistant|human|system|tool|q|a)(?:\W{0,2}:|[,;\t]))", re.IGNORECASE)
 SEPARATORS = re.compile(r"[,;|/•·#+»›]|\s[-–—]\s")
-SENTENCE_END = re.compile(r"[.!?…:؟।。！？][\"'”»)\]}」』]*$")
+#: What a character can be, one bit each: part of a word, a word of its own, blank, the end of a line, a stop before a blank, one anywhere,
+#: what closes the first and the second, a separator, a dash (a separator between blanks), the end of a sentence, what closes it.
+LETTER, SINGLE, BLANK, BREAK, STOP, STOP_ANYWHERE, CLOSES, CLOSES_ANYWHERE, APART, DASH, END, CLOSES_END, UPPER, UNKNOWN = (1 << i for i in range(14))
+KINDS = [rf"[^\W\d_{IDEOGRAPH}]", rf"[{IDEOGRAPH}]", r"\s", r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]", "[.!?…؟।]", "[。！？]", "[\"'”»)\\]]", "[」』”]", "[,;|/•·#+»›]", "[-–—]", "[.!?…:؟।。！？]", "[\"'”»)\\]}」』]"]
+KINDS = [re.compile(k) for k in KINDS]
 #: Share of the pages that a common pair of words is on, and of the pages of the rarer word that it is on; share of the pages that a word
 #: the corpus knows is on, and that one is on which no page is about. They bound the tables: no more than 1 / share times a page's words.
 PAIR, COHERENT, KNOWN, EVERYWHERE = 3e-4, 0.2, 1e-3, 0.1
@@ -64,38 +65,114 @@ GOES_WITH, ROUNDS = 0.6, 4
 MOST, FEW, NEARLY_ALL = 0.5, 8, 0.75
 
 
-def pieces(text: str) -> list[str]:
-    """Lines, and sentences within lines, of a text without markup."""
+def unmarked(text: str) -> str:
+    """A text without markup, escapes and speakers."""
     if "\\" in text:
         text = ESCAPE.sub(lambda m: chr(int(m[1], 16)), text).replace("\\n", "\n").replace("\\r", "\n")
     if text.lstrip()[:1] in "[{":
         text = JSON_KEY.sub("\n", text)
     if "<" in text:
         text = TAG.sub(" ", BLOCK_TAG.sub("\n", ANCHOR.sub(r" \1 ", text)))
-    text = SPEAKER.sub("\n", text)
-    out = []
-    for line in text.splitlines():
-        out += [s for m in SENTENCE.finditer(line) if (s := m[0].strip())]
-    return out
-
-
-def spoken(parts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words of all pieces one after the other, and where each piece's words end."""
-    text = "\0".join(LINK.sub(" ", p) if "/" in p or "www." in p else p for p in parts).lower()
-    found = (ASCII_WORD if text.isascii() else WORD).findall(text)
-    if len(parts) == 1:
-        return found, np.array([len(found)])
-    ends = np.flatnonzero(np.fromiter(("\0" == w for w in found), bool, len(found)))
-    return [w for w in found if w != "\0"], np.append(ends - np.arange(len(ends)), len(found) - len(ends))
-
-
-@lru_cache(1 << 18)
-def _number(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def numbers(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_number, words), np.uint64, len(words))
+    # The search for heads of lines is quick, and most texts have no speaker.
+    return SPEAKER.sub("\n", text) if "**" in text or SPEAKER.match(text) or LINE_OF_SPEAKER.search(text) else text
+
+
+_kinds = np.full(0x110000, UNKNOWN, np.uint16)
+
+
+def kinds_of(code: np.ndarray) -> np.ndarray:
+    """The bits of each character; a character is looked at when it first comes."""
+    kind = _kinds[code]
+    new = code[kind == UNKNOWN]
+    if len(new):
+        for c in np.unique(new).tolist():
+            _kinds[c] = sum(1 << i for i, k in enumerate(KINDS) if k.match(chr(c))) + chr(c).isupper() * UPPER
+        kind = _kinds[code]
+    return kind
+
+
+def having(kind: np.ndarray, bits: int) -> np.ndarray:
+    """Where characters have one of the bits."""
+    return np.flatnonzero((kind & np.uint16(bits)) != 0)
+
+
+def runs(kind: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of characters with one of the bits begins, and where it is over."""
+    on = having(kind, bits)
+    new = np.flatnonzero(np.diff(on, prepend=-2) != 1)
+    return on[new], on[np.append(new[1:], len(on)) - 1] + 1 if len(on) else on
+
+
+def past(at: np.ndarray, begin: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """The first positions outside the runs, from each position on."""
+    if not len(begin):
+        return at
+    run = np.maximum(np.searchsorted(begin, at, "right") - 1, 0)
+    return np.where((at >= begin[run]) & (at < over[run]), over[run], at)
+
+
+def parts_of(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines, and the sentences within lines, of a text begin and end, without blanks around them. The text ends with a break."""
+    begin, over = (np.concatenate(x) for x in zip(runs(kind, STOP), runs(kind, STOP_ANYWHERE)))
+    order = np.argsort(begin)
+    begin, over = begin[order], over[order]
+    anywhere = (kind[begin] & STOP_ANYWHERE) > 0
+    end = np.where(anywhere, past(over, *runs(kind, CLOSES_ANYWHERE)), past(over, *runs(kind, CLOSES)))
+    # A piece has a character before its stop; a stop that is one character at its head is that character.
+    one = over - begin == 1
+    ends = (anywhere | ((kind[end] & BLANK) > 0)) & ~(one & ((begin == 0) | ((kind[begin - 1] & BREAK) > 0)))
+    for i in (np.flatnonzero(one[1:] & (begin[1:] == end[:-1])) + 1).tolist():
+        ends[i] &= not ends[i - 1]
+    cuts = np.sort(np.concatenate([[0], having(kind, BREAK), end[ends]]))
+    begin, over = runs(kind, BLANK)
+    start, end = past(cuts[:-1], begin, over), cuts[1:]
+    start, end = start[start < end], end[start < end]
+    run = np.searchsorted(over, end)
+    run = np.minimum(run, len(begin) - 1)
+    return start, np.where(begin[run] < end, begin[run], end)
+
+
+def inside(at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the sorted positions each piece has."""
+    return np.searchsorted(at, end) - np.searchsorted(at, start)
+
+
+def dashes(kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many dashes between blanks each piece has; a blank belongs to one dash."""
+    at = having(kind[1:-1], DASH) + 1
+    at = at[(kind[at - 1] & kind[at + 1] & BLANK) > 0]
+    if not len(at):
+        return np.zeros(len(start), np.int64)
+    piece = np.maximum(np.searchsorted(start, at, "right") - 1, 0)
+    at = at[(at > start[piece]) & (at + 1 < end[piece])]
+    n = np.arange(len(at))
+    return inside(at[(n - np.maximum.accumulate(np.where(np.diff(at, prepend=-3) != 2, n, 0))) % 2 == 0], start, end)
+
+
+@lru_cache(64)
+def _factors(n: int) -> np.ndarray:
+    """``n`` fixed random factors."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text in lower case begins, and its number: the sum of its characters, each by the factor of its place."""
+    kind = kinds_of(code)
+    at = having(kind, LETTER | SINGLE)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    single = (kind[at] & SINGLE) > 0
+    new = np.diff(at, prepend=-2) != 1
+    new |= single
+    new[1:] |= single[:-1]
+    first = np.flatnonzero(new)
+    length = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    number = np.add.reduceat(_factors(1 << int(length.max() - 1).bit_length())[place] * code[at], first)
+    return at[first], (number ^ (number >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def paired(words: np.ndarray) -> np.ndarray:
@@ -106,37 +183,80 @@ def paired(words: np.ndarray) -> np.ndarray:
 
 CUT = "doc_id long, words array<long>, length array<int>, form array<int>, size array<int>, text array<long>"
 HEADS, ENDS = "aA", "_."
-
-
-def form_of(piece: str, n: int) -> int:
-    """Capital, end, separators and links of a piece of ``n`` words, as one number."""
-    links = len(LINK.findall(piece)) if "/" in piece or "www." in piece else 0
-    gaps = len(SEPARATORS.findall(LINK.sub("", piece) if links else piece))
-    apart = 0 if gaps == 0 or gaps < 3 and n >= 4 else 1 if gaps <= n / 3 else 2
-    linked = 0 if not links else 1 if n >= 8 * links else 2
-    return ((piece[0].isupper() * 2 + bool(SENTENCE_END.search(piece[-4:]))) * 3 + apart) * 3 + linked
+#: So many characters are cut up at once (more in a line that is longer).
+TOGETHER = 1 << 18
+
+
+def cut_up(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """The words of unmarked texts as numbers, how many words and pieces each text has, and the length, form (capital, end, separators
+    and links), visible characters and text (a hash) of each piece."""
+    whole = "\n".join([t.replace("\0", " ") for t in texts] + [""])
+    raw = whole.encode("utf-32-le", "surrogatepass")
+    code = np.frombuffer(raw, np.uint32)
+    kind = kinds_of(code)
+    start, end = parts_of(kind)
+    gaps = inside(having(kind, APART), start, end) + dashes(kind, start, end)
+    links, spoken = np.zeros(len(start), np.int64), code
+    may = inside(np.flatnonzero(code == ord("/")), start, end) > 0
+    if "www." in whole:
+        may |= inside(np.array([m.start() for m in re.finditer(r"www\.", whole)]), start, end) > 0
+    for i in np.flatnonzero(may).tolist():
+        part = whole[start[i] : end[i]]
+        found = [m.span() for m in LINK.finditer(part)]
+        if found:
+            links[i], gaps[i] = len(found), len(SEPARATORS.findall(LINK.sub("", part)))
+            spoken = code.copy() if spoken is code else spoken
+            for a, b in found:
+                spoken[start[i] + a : start[i] + b] = ord(" ")
+    lower = (whole if spoken is code else spoken.tobytes().decode("utf-32-le", "surrogatepass")).lower()
+    # The capital dotted i is the one letter that becomes two characters.
+    longer = np.flatnonzero(spoken == 0x130) if len(lower) > len(code) else np.zeros(0, np.int64)
+    at, words = numbered(np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32))
+    n = inside(at, start + np.searchsorted(longer, start), end + np.searchsorted(longer, end))
+    apart = np.where((gaps == 0) | (gaps < 3) & (n >= 4), 0, np.where(3 * gaps <= n, 1, 2))
+    linked = np.where(links == 0, 0, np.where(n >= 8 * links, 1, 2))
+    ended, closes = np.zeros(len(start), bool), np.ones(len(start), bool)
+    for back in range(1, 5):
+        last = kind[np.maximum(end - back, start)]
+        ended |= closes & (end - back >= start) & ((last & END) > 0)
+        closes &= (last & CLOSES_END) > 0
+    form = ((((kind[start] & UPPER) > 0) * 2 + ended) * 3 + apart) * 3 + linked
+    size = end - start - inside(np.flatnonzero(code == ord(" ")), start, end)
+    view = memoryview(raw)
+    key = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((start * 4).tolist(), (end * 4).tolist())), np.uint64, len(start))
+    page = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    return words, np.bincount(page, n, len(texts)).astype(np.int64), np.bincount(page, minlength=len(texts)), n, form, size, key
+
+
+def at_lines(text: str) -> Iterator[str]:
+    """A long text in slices that end with a line, as bounded memory needs it."""
+    at = 0
+    while len(text) - at > TOGETHER:
+        to = text.rfind("\n", at, at + TOGETHER) + 1 or text.find("\n", at + TOGETHER) + 1 or len(text)
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page's words as numbers, and the length, form, visible characters and text (a hash) of its pieces."""
     for batch in batches:
-        flat, words_to, pieces_to, length, form, size, key = [], [0], [0], [], [], [], []
-        for text in batch["text"].to_pylist():
-            parts = pieces(text)
-            if parts:
-                words, ends = spoken(parts)
-                counts = np.diff(ends, prepend=0).tolist()
-                flat.append(numbers(words))
-                length += counts
-                form += map(form_of, parts, counts)
-                size += [len(p) - p.count(" ") for p in parts]
-                key += map(xxhash.xxh3_64_intdigest, parts)
-            words_to.append(words_to[-1] + (len(flat[-1]) if parts else 0))
-            pieces_to.append(len(length))
-        word = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-        listed = lambda to, values: pa.ListArray.from_arrays(pa.array(np.array(to, np.int32)), pa.array(values))
-        columns = [batch["doc_id"], listed(words_to, word.view(np.int64))] + [listed(pieces_to, np.array(x, np.int32)) for x in (length, form, size)]
-        yield pa.RecordBatch.from_arrays([*columns, listed(pieces_to, np.array(key, np.uint64).view(np.int64))], [c.split()[0] for c in CUT.split(", ")])
+        done, texts, held, pages = [cut_up([])], [], 0, []
+        for page, text in enumerate(batch["text"]):
+            for part in at_lines(unmarked(text.as_py())):
+                texts.append(part)
+                pages.append(page)
+                held += len(part)
+                if held >= TOGETHER:
+                    done.append(cut_up(texts))
+                    texts, held = [], 0
+        done.append(cut_up(texts))
+        word, words, parts, length, form, size, key = (np.concatenate(x) for x in zip(*done))
+        to = lambda n: pa.array(np.append(0, np.cumsum(np.bincount(pages, n, len(batch)))).astype(np.int32))
+        words_to, parts_to = to(words), to(parts)
+        listed = [pa.ListArray.from_arrays(parts_to, pa.array(x.astype(np.int32))) for x in (length, form, size)]
+        columns = [batch["doc_id"], pa.ListArray.from_arrays(words_to, pa.array(word.view(np.int64))), *listed, pa.ListArray.from_arrays(parts_to, pa.array(key.view(np.int64)))]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CUT.split(", ")])
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
